@@ -218,7 +218,8 @@ def _merge(cfg: Tsdf):
 
 
 def _lookup(table):
-    return lambda v: F.get(table, v.cast("int"))
+    """Read a level map; a one-element map is a constant."""
+    return lambda v: F.get(table, F.least(v.cast("int"), F.size(table) - 1))
 
 
 def _state(prior: bool) -> Column:
@@ -274,8 +275,8 @@ def fold_chunked(obs: DataFrame, cfg: Tsdf, chunk: int = 4096, fan: int = 256) -
             return F.aggregate("_obs", init, lambda acc, o: F.struct(
                 ((acc["v"] * acc["w"] + o[c]) / (acc["w"] + 1)).cast("long").alias("v"),
                 F.least(acc["w"] + 1, n_max).alias("w")))["v"]
-        # With no earlier weight the start level does not matter: one run gives them all.
-        return F.when(F.col("_w") == 0, F.array_repeat(run(F.lit(0)), 256)).otherwise(
+        # With no earlier weight the start level does not matter: the map is constant.
+        return F.when(F.col("_w") == 0, F.array(run(F.lit(0)))).otherwise(
             F.transform(F.sequence(F.lit(0), F.lit(255)), run))
     parts = g.select(*G, "_c", F.aggregate("_obs", start, affine).alias("_f"),
                      *[levels(c).alias(c) for c in "rgb"])
@@ -295,7 +296,7 @@ def fold_chunked(obs: DataFrame, cfg: Tsdf, chunk: int = 4096, fan: int = 256) -
 
     def apply(acc, x):
         return F.struct((x["fa"] * acc["sdf"] + x["fb"]).alias("sdf"), x["fw"].alias("weight"),
-                        *[F.get(x[c], acc[c].cast("int")).alias(c) for c in "rgb"])
+                        *[_lookup(x[c])(acc[c]).alias(c) for c in "rgb"])
     out = sequence_of(packed, *G).select(*G, F.aggregate("_l", _state(False), apply).alias("_m"))
     return out.select(*G, "_m.*")
 

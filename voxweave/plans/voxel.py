@@ -173,11 +173,11 @@ def vox10(spark, sf):
 
 @query("vox13_merge", f"WITH RECURSIVE {FUSED_POSED} SELECT {_OUT} FROM fused")
 def vox13(spark, sf):
-    """Merging by composable chunk summaries (two frames per chunk here)."""
+    """Merging by composable chunk summaries (four frames per chunk here)."""
     pix, pos = t.pixels(spark, sf, M), t.poses(spark, sf)
     a = vx.allocate(pix, pos, M, C)
     obs = vx.observations(vx.frame_blocks(a, vx.blocks(a), M, C), pix, pos, M, C)
-    return _out(vx.fold_chunked(obs, C, chunk=2, fan=2))
+    return _out(vx.fold_chunked(obs, C, chunk=4, fan=2))
 
 
 @query("vox14_ray_blocks", f"WITH {t.pixels_sql()}, {ORIGIN_PM}, {alloc_sql(S)} SELECT frame_id, bx, by, bz FROM alloc")
@@ -255,8 +255,8 @@ def _interp_ctes(q="q", out="it", voxels="fused", extra=""):
     return f"""c AS (SELECT {q}.*, v.sdf AS sdf0, v.weight AS w0, v.r AS r0, v.g AS g0, v.b AS b0 FROM {q} LEFT JOIN {voxels} v ON {centre}),
       taps AS ({' UNION ALL '.join(parts)}),
       {out} AS (SELECT c.id, any_value(coalesce(w0, 0)) AS weight, CASE WHEN any_value(w0) IS NULL THEN 0 ELSE sum(w * s) END AS sdf,
-        coalesce(trunc(round(sum(w * vr), 9)), 0)::BIGINT AS r, coalesce(trunc(round(sum(w * vg), 9)), 0)::BIGINT AS g,
-        coalesce(trunc(round(sum(w * vb), 9)), 0)::BIGINT AS b FROM c JOIN taps USING (id) GROUP BY c.id)"""
+        CASE WHEN any_value(w0) IS NULL THEN 0 ELSE trunc(round(sum(w * vr), 9))::BIGINT END AS r, CASE WHEN any_value(w0) IS NULL THEN 0 ELSE trunc(round(sum(w * vg), 9))::BIGINT END AS g,
+        CASE WHEN any_value(w0) IS NULL THEN 0 ELSE trunc(round(sum(w * vb), 9))::BIGINT END AS b FROM c JOIN taps USING (id) GROUP BY c.id)"""
 
 
 @query("vox17_interpolate", _lookup_sql(f"{_interp_ctes()} SELECT id, {t.r6('sdf')} AS sdf, weight, r, g, b FROM it"))
