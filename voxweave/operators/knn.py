@@ -67,22 +67,16 @@ def _prune(frontier: DataFrame, need: int, floor: float) -> DataFrame:
 
 def _tree(nodes: DataFrame, count: int, lo, size: float):
     """(cells with a leaf flag, nodes with their leaf) of the adaptive octree."""
-    deepest = min(MAX_DEPTH, max(0, math.ceil(math.log(max(count / LEAF, 1), 4))) + 4)
-    if count <= LEAF:
-        deepest = 0
+    deepest = min(MAX_DEPTH, math.ceil(math.log(count / LEAF, 4)) + 4)
     per_level = nodes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
     per_level = per_level.select("node_id", "x", "y", "z", "level", *_cell(F.col("level"), lo, size))
     cells = per_level.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), *_bounds())
     cells = cells.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == deepest))
     # Cells below a leaf are never visited; the parent's count says whether there is one above.
-    if deepest:
-        parent = cells.filter(~F.col("leaf")).select(
-            (F.col("level") + 1).alias("level"), *[F.col(c).alias(f"p{c}") for c in ("cx", "cy", "cz")])
-        keyed = cells.withColumns({f"p{c}": F.shiftright(c, 1) for c in ("cx", "cy", "cz")})
-        inner = keyed.join(parent, ["level", "pcx", "pcy", "pcz"], "left_semi")
-        cells = inner.unionByName(keyed.filter("level = 0"))
-    else:
-        cells = cells.withColumns({f"p{c}": F.shiftright(c, 1) for c in ("cx", "cy", "cz")})
+    parent = cells.filter(~F.col("leaf")).select(
+        (F.col("level") + 1).alias("level"), *[F.col(c).alias(f"p{c}") for c in ("cx", "cy", "cz")])
+    keyed = cells.withColumns({f"p{c}": F.shiftright(c, 1) for c in ("cx", "cy", "cz")})
+    cells = keyed.join(parent, ["level", "pcx", "pcy", "pcz"], "left_semi").unionByName(keyed.filter("level = 0"))
     cells = cut(cells)
     leaves = cells.filter("leaf").select(*CELL)
     return cells, per_level.join(leaves, CELL)
@@ -139,8 +133,13 @@ def knn(queries: DataFrame, nodes: DataFrame, k: int, *, exclude_self: bool = Fa
         return queries.sparkSession.createDataFrame([], schema)
     lo = [top[f"{a}0"] for a in "xyz"]
     size = max(max(top[f"{a}1"] - top[f"{a}0"] for a in "xyz"), 1e-300) * (1 + 1e-9)
-    cells, placed = _tree(nodes, top["n"], lo, size)
-    depth = cells.agg(F.max("level")).first()[0]
+    if top["n"] <= LEAF:
+        depth, cells = 0, None
+        placed = nodes.select("node_id", "x", "y", "z", F.lit(0).alias("level"),
+                              *[F.lit(0).cast("long").alias(c) for c in CELL[1:]])
+    else:
+        cells, placed = _tree(nodes, top["n"], lo, size)
+        depth = cells.agg(F.max("level")).first()[0]
 
     # Query boxes: cells of one level with tight bounds, about BOX queries each.
     total = queries.count()

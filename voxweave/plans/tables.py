@@ -134,14 +134,14 @@ def lattice(spark: SparkSession, sf: str, side: int = 20) -> DataFrame:
     return e.select((F.col("event_id") % side).alias("gx"),
                     F.expr(f"event_id div {side} % {side}").alias("gy"),
                     F.expr(f"event_id div {side * side}").alias("gz"),
-                    (F.col("value") / 100.0 - F.lit(0.5)).alias("sdf"), F.lit(1).alias("weight"),
+                    (F.col("value") / 97.0 - F.lit(0.5)).alias("sdf"), F.lit(1).alias("weight"),
                     (F.col("user_id") % 256).alias("r"), (F.col("event_id") * 7 % 256).alias("g"),
                     (F.col("event_id") * 13 % 256).alias("b"))
 
 
 def lattice_sql(side: int = 20, name: str = "lattice") -> str:
     return f"""{name} AS (SELECT event_id % {side} AS gx, event_id // {side} % {side} AS gy,
-      event_id // {side * side} AS gz, value / 100.0::DOUBLE - 0.5::DOUBLE AS sdf, 1 AS weight,
+      event_id // {side * side} AS gz, value / 97.0::DOUBLE - 0.5::DOUBLE AS sdf, 1 AS weight,
       user_id % 256 AS r, event_id * 7 % 256 AS g, event_id * 13 % 256 AS b FROM events)"""
 
 
