@@ -34,8 +34,12 @@ class Quat:
     @staticmethod
     def from_euler(roll, pitch, yaw) -> "Quat":
         """Rotation Rz(yaw) Ry(pitch) Rx(roll)."""
-        c = [F.cos(as_col(a) * 0.5) for a in (roll, pitch, yaw)]
-        s = [F.sin(as_col(a) * 0.5) for a in (roll, pitch, yaw)]
+        angles = [as_col(a) * 0.5 for a in (roll, pitch, yaw)]
+        return Quat.from_half_angles([F.cos(a) for a in angles], [F.sin(a) for a in angles])
+
+    @staticmethod
+    def from_half_angles(c, s) -> "Quat":
+        """Cosines and sines of half the roll, pitch and yaw."""
         return Quat(c[2] * c[1] * c[0] + s[2] * s[1] * s[0],
                     c[2] * c[1] * s[0] - s[2] * s[1] * c[0],
                     s[2] * c[1] * s[0] + c[2] * s[1] * c[0],
