@@ -19,8 +19,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf: str, s: Sensor = BIG) -> DataFrame:
     """events as consecutive depth frames of the sensor's size."""
+    return frames_of(read(spark, sf, "events"), s)
+
+
+def frames_of(e: DataFrame, s: Sensor) -> DataFrame:
     n = s.rows * s.cols
-    e = read(spark, sf, "events")
     return e.select(
         F.expr(f"event_id div {n}").alias("frame_id"),
         (F.col("event_id") % n).alias("idx"),
@@ -146,4 +149,4 @@ def lattice_sql(side: int = 20, name: str = "lattice") -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round({expr}, 6) + 0.0"
+    return f"round(({expr})::DOUBLE, 6) + 0.0::DOUBLE"
