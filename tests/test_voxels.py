@@ -36,7 +36,7 @@ def observations(n_frames, seed):
 OBS = "frame_id long, gx long, gy long, gz long, sdf double, r long, g long, b long"
 
 
-@pytest.mark.parametrize("how", ["plain", "chunked", "prior"])
+@pytest.mark.parametrize("how", ["plain", "chunked", "prior", "chunked prior"])
 def test_merge_is_the_sequential_fold(spark, how):
     rows = observations(60, 3)
     df = spark.createDataFrame(rows, OBS)
@@ -44,6 +44,8 @@ def test_merge_is_the_sequential_fold(spark, how):
         got = vx.fold(df, CFG)
     elif how == "chunked":
         got = vx.fold_chunked(df, CFG, chunk=4, fan=3)
+    elif how == "chunked prior":
+        got = vx.fold_chunked(df.filter("frame_id >= 25"), CFG, vx.fold(df.filter("frame_id < 25"), CFG), chunk=4, fan=3)
     else:
         got = vx.fold(df.filter("frame_id >= 25"), CFG, prior=vx.fold(df.filter("frame_id < 25"), CFG))
     want = sequential(rows, CFG.max_weight)

@@ -22,6 +22,7 @@ from .pixels import joined_pose, pose_columns
 MAP_SCHEMA = "gx long, gy long, gz long, sdf double, weight int, r long, g long, b long"
 G = ["gx", "gy", "gz"]
 BLOCK = ["bx", "by", "bz"]
+CHUNK = 4096        # frames whose observations of one voxel may meet in one array
 
 
 def empty_map(spark: SparkSession) -> DataFrame:
@@ -235,18 +236,22 @@ def _grouped(obs: DataFrame, keys: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("frame_id", "sdf", "r", "g", "b"))).alias("_obs"))
 
 
+def _renamed(prior: DataFrame) -> DataFrame:
+    return prior.select(*G, *[F.col(c).alias(f"_p_{c}") for c in ("sdf", "weight", "r", "g", "b")])
+
+
 def fold(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
     """Merge observations in frame order. A voxel has at most one observation per frame, so
     its array is bounded by the number of frames; see ``fold_chunked`` beyond a few thousand."""
     g = _grouped(obs, G)
     if prior is not None:
-        old = prior.select(*G, *[F.col(c).alias(f"_p_{c}") for c in ("sdf", "weight", "r", "g", "b")])
-        g = g.join(old, G, "full_outer").withColumn("_obs", F.coalesce("_obs", F.array()))
+        g = g.join(_renamed(prior), G, "full_outer").withColumn("_obs", F.coalesce("_obs", F.array()))
     merged = F.aggregate("_obs", _state(prior is not None), _merge(cfg))
     return g.select(*G, merged.alias("_m")).select(*G, "_m.*")
 
 
-def fold_chunked(obs: DataFrame, cfg: Tsdf, chunk: int = 4096, fan: int = 256) -> DataFrame:
+def fold_chunked(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None, chunk: int = CHUNK,
+                 fan: int = 256) -> DataFrame:
     """``fold`` for any number of frames: exact, and no array grows with the frame count.
 
     Frames are cut into chunks. Given the weight a chunk starts with, its effect on the sdf is
@@ -257,9 +262,11 @@ def fold_chunked(obs: DataFrame, cfg: Tsdf, chunk: int = 4096, fan: int = 256) -
     g = _grouped(obs.withColumn("_c", F.floor(F.col("frame_id") / chunk)), [*G, "_c"])
     # Light rows only: how many observations precede each chunk, and hence its start weight.
     before = Window.partitionBy(*G).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = g.select(*G, "_c", F.size("_obs").alias("_n"))
-    starts = counts.select(*G, "_c", F.least(F.coalesce(F.sum("_n").over(before), F.lit(0)), n_max)
-                           .cast("int").alias("_w"))
+    counts = g.select(*G, "_c", F.size("_obs").alias("_n")).withColumn("_p", F.lit(0))
+    if prior is not None:
+        counts = counts.drop("_p").join(prior.select(*G, F.col("weight").alias("_p")), G, "left")
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.coalesce("_p", F.lit(0))
+    starts = counts.select(*G, "_c", F.least(earlier, n_max).cast("int").alias("_w"))
     g = g.join(starts, [*G, "_c"])
 
     def affine(acc, o):
@@ -297,17 +304,28 @@ def fold_chunked(obs: DataFrame, cfg: Tsdf, chunk: int = 4096, fan: int = 256) -
     def apply(acc, x):
         return F.struct((x["fa"] * acc["sdf"] + x["fb"]).alias("sdf"), x["fw"].alias("weight"),
                         *[_lookup(x[c])(acc[c]).alias(c) for c in "rgb"])
-    out = sequence_of(packed, *G).select(*G, F.aggregate("_l", _state(False), apply).alias("_m"))
+    out = sequence_of(packed, *G)
+    if prior is not None:
+        out = out.join(_renamed(prior), G, "full_outer").withColumn("_l", F.coalesce("_l", F.array()))
+    out = out.select(*G, F.aggregate("_l", _state(prior is not None), apply).alias("_m"))
     return out.select(*G, "_m.*")
 
 
-def fuse(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, *, many_frames: bool = False,
+def merge(obs: DataFrame, frames: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
+    """Fold observations of the given frames, in chunks once their ids span many frames."""
+    lo, hi = frames.agg(F.min("frame_id"), F.max("frame_id")).first()
+    if lo is not None and hi - lo >= CHUNK:
+        return fold_chunked(obs, cfg, prior)
+    return fold(obs, cfg, prior)
+
+
+def fuse(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, *,
          allocated: DataFrame | None = None) -> DataFrame:
     """Integrate every frame at its given pose and return the observed voxels."""
     allocated = allocate(pixels, poses, s, cfg) if allocated is None else allocated
     pairs = frame_blocks(allocated, blocks(allocated), s, cfg)
     obs = observations(pairs, pixels, poses, s, cfg)
-    return fold_chunked(obs, cfg) if many_frames else fold(obs, cfg)
+    return merge(obs, poses, cfg)
 
 
 def with_blocks(voxels: DataFrame, cfg: Tsdf) -> DataFrame:

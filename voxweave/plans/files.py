@@ -145,9 +145,9 @@ def _coo(spark, sf):
         "i", F.col("j").cast("long").alias("j"), F.round(F.col("val").cast("double"), 6).alias("val"))
 
 
-@query("snk6_matrix_rows", f"SELECT 0 AS section, vec_id AS ord, {_fmt(*[f'embedding[{i}]::DOUBLE' for i in range(1, 7)])} AS line FROM embeddings WHERE vec_id BETWEEN 10 AND 400")
+@query("snk6_matrix_rows", f"SELECT 0 AS section, vec_id AS ord, {_fmt(*[f'embedding[{i}]::DOUBLE' for i in range(1, 7)])} AS line FROM embeddings")
 def snk6(spark, sf):
-    return text.matrix_lines(_coo(spark, sf), 10, 400)
+    return text.matrix_lines(_coo(spark, sf))
 
 
 _NE = edges_sql("nodes", "node_id", True, 1e-4, name="ne")

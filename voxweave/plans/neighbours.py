@@ -86,7 +86,7 @@ def knn10(spark, sf):
 
 
 @query("knn11_large_k", f"WITH {BASE}, {edges_sql('points', 'idx', False, 0, k=12, nodes='pn')} SELECT qid, rank, node_id, {t.r6('dist')} AS dist FROM edges"
-       .replace("WITH ", "WITH ").replace(f"{t.nodes_sql()}", f"{t.nodes_sql()}, pn AS (SELECT idx AS node_id, x, y, z FROM points)"))
+       .replace(f"{t.nodes_sql()}", f"{t.nodes_sql()}, pn AS (SELECT idx AS node_id, x, y, z FROM points)"))
 def knn11(spark, sf):
     """All points against all points, so the tree has more than one level."""
     p = t.points(spark, sf)
@@ -105,9 +105,9 @@ def _pos(df, *ids):
 _XYZ = ", ".join(f"{t.r6(c)} AS {c}" for c in "xyz")
 
 
-@query("grf1_init_nodes", f"WITH {_V} SELECT vid AS node_id, vid AS vertex_id, {_XYZ}, {_DQ} FROM vertices WHERE vid % 2 = 0")
+@query("grf1_init_nodes", f"WITH {_V} SELECT vid AS node_id, vid AS vertex_id, {_XYZ}, {_DQ} FROM vertices")
 def grf1(spark, sf):
-    n = graph.init_nodes(t.vertices(spark, sf).filter("vid % 2 = 0"))
+    n = graph.init_nodes(t.vertices(spark, sf))
     return n.withColumns({c: clean(F.col(c)) for c in "xyz"})
 
 
@@ -127,8 +127,8 @@ def grf4(spark, sf):
 
 
 def solution(spark, sf):
-    """Six numbers per node from the embeddings."""
-    e = t.read(spark, sf, "embeddings").filter("vec_id % 4 = 0 and vec_id % 3 <> 0")
+    """Six numbers per node from the embeddings, for the nodes of two labels."""
+    e = t.read(spark, sf, "embeddings").filter("label in (1, 2)")
     names = ("roll", "pitch", "yaw", "tx", "ty", "tz")
     return e.select(F.col("vec_id").alias("node_id"),
                     *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names, 10)])
@@ -136,7 +136,7 @@ def solution(spark, sf):
 
 SOLUTION = """sol AS (SELECT vec_id AS node_id, embedding[11]::DOUBLE AS roll, embedding[12]::DOUBLE AS pitch,
   embedding[13]::DOUBLE AS yaw, embedding[14]::DOUBLE AS tx, embedding[15]::DOUBLE AS ty, embedding[16]::DOUBLE AS tz
-  FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 3 <> 0)"""
+  FROM embeddings WHERE label IN (1, 2))"""
 SOLVED = f"""{SOLUTION}, half AS (SELECT *, cos(roll/2) AS cr, sin(roll/2) AS sr, cos(pitch/2) AS cp, sin(pitch/2) AS sp,
   cos(yaw/2) AS cy, sin(yaw/2) AS sy FROM sol),
   sq AS (SELECT *, cy*cp*cr + sy*sp*sr AS qw, cy*cp*sr - sy*sp*cr AS qx, sy*cp*sr + cy*sp*cr AS qy, sy*cp*cr - cy*sp*sr AS qz FROM half),

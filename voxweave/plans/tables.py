@@ -63,24 +63,26 @@ def points_sql(name: str = "points") -> str:
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fourth point is a node; every eighth is moved by (0, -0.5, 0.5)."""
-    moved = F.col("idx") % 8 == 0
+    """Points of the first three labels are nodes; those of label 0 are moved by (0, -0.5, 0.5)."""
+    moved = F.col("label") == 0
 
     def part(v):
         return F.when(moved, F.lit(v)).otherwise(F.lit(0.0))
-    return points(spark, sf).filter("idx % 4 = 0").select(
-        F.col("idx").alias("node_id"), F.col("idx").alias("vertex_id"), "x", "y", "z",
+    return read(spark, sf, "embeddings").filter("label <= 2").select(
+        F.col("vec_id").alias("node_id"), F.col("vec_id").alias("vertex_id"),
+        _dim(0).alias("x"), _dim(1).alias("y"), _dim(2).alias("z"),
         F.lit(1.0).alias("rw"), F.lit(0.0).alias("rx"), F.lit(0.0).alias("ry"),
         F.lit(0.0).alias("rz"), F.lit(0.0).alias("dw"), F.lit(0.0).alias("dx"),
         part(-0.25).alias("dy"), part(0.25).alias("dz"))
 
 
 def nodes_sql(name: str = "nodes") -> str:
-    return f"""{name} AS (SELECT idx AS node_id, idx AS vertex_id, x, y, z, 1.0::DOUBLE AS rw,
+    return f"""{name} AS (SELECT vec_id AS node_id, vec_id AS vertex_id, embedding[1]::DOUBLE AS x,
+      embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, 1.0::DOUBLE AS rw,
       0.0::DOUBLE AS rx, 0.0::DOUBLE AS ry, 0.0::DOUBLE AS rz, 0.0::DOUBLE AS dw,
-      0.0::DOUBLE AS dx, CASE WHEN idx % 8 = 0 THEN -0.25::DOUBLE ELSE 0.0::DOUBLE END AS dy,
-      CASE WHEN idx % 8 = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS dz
-      FROM points WHERE idx % 4 = 0)"""
+      0.0::DOUBLE AS dx, CASE WHEN label = 0 THEN -0.25::DOUBLE ELSE 0.0::DOUBLE END AS dy,
+      CASE WHEN label = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS dz
+      FROM embeddings WHERE label <= 2)"""
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,17 +55,19 @@ def bld5(spark, sf):
     return out.select("obs_id", *[clean(F.col(a)).alias(a) for a in "xyz"])
 
 
-_SRC = f"""src AS (SELECT idx AS node_id, x, y, z, 1.0::DOUBLE AS rw, {', '.join(f'0.0::DOUBLE AS {p}' for p in PARTS[1:6])},
-  CASE WHEN idx % 8 = 0 THEN -0.25::DOUBLE ELSE 0.0 END AS dy, CASE WHEN idx % 8 = 0 THEN 0.25::DOUBLE ELSE 0.0 END AS dz FROM points WHERE idx % 2 = 0)"""
+_SRC = f"""src AS (SELECT vec_id AS node_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z,
+  1.0::DOUBLE AS rw, {', '.join(f'0.0::DOUBLE AS {p}' for p in PARTS[1:6])}, CASE WHEN label = 9 THEN -0.25::DOUBLE ELSE 0.0 END AS dy,
+  CASE WHEN label = 9 THEN 0.25::DOUBLE ELSE 0.0 END AS dz FROM embeddings WHERE label >= 5)"""
 
 
 @query("bld6_blend_to_mesh", f"""WITH {t.points_sql()}, {_SRC}, {edges_sql('points', 'idx', False, 0, nodes='src').replace(f'{t.RADIUS ** 2}::DOUBLE', '0.25::DOUBLE')},
-{q.sums_cte(nodes='src')}, wo AS (SELECT b.qid, {', '.join(f"b.{p} + CASE WHEN s.node_id % 8 = 0 THEN s.{p} ELSE 0 END AS {p}" for p in PARTS)}
+{q.sums_cte(nodes='src')}, wo AS (SELECT b.qid, {', '.join(f"b.{p} + CASE WHEN s.label = 9 THEN s.{p} ELSE 0 END AS {p}" for p in PARTS)}
 FROM bs b LEFT JOIN src s ON s.node_id = b.qid), {q.unit_cte('wo', 'bu')}
 SELECT idx AS obs_id, {', '.join(f'{t.r6(c)} AS {a}' for c, a in zip(_POS, 'xyz'))} FROM points JOIN bu ON bu.qid = idx""")
 def bld6(spark, sf):
-    src = _obs(spark, sf).filter("obs_id % 2 = 0")
-    moved = F.col("obs_id") % 8 == 0
+    labels = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("obs_id"), "label").filter("label >= 5")
+    src = _obs(spark, sf).join(labels, "obs_id")
+    moved = F.col("label") == 9
     vals = {"rw": F.lit(1.0), "dy": F.when(moved, -0.25).otherwise(0.0), "dz": F.when(moved, 0.25).otherwise(0.0)}
     tr = src.select("obs_id", *[vals.get(p, F.lit(0.0)).alias(p) for p in PARTS])
     out = blend.blend_to_mesh(_obs(spark, sf), src, tr)
