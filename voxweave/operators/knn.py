@@ -141,9 +141,8 @@ def knn(queries: DataFrame, nodes: DataFrame, k: int, *, exclude_self: bool = Fa
         cells, placed = _tree(nodes, top["n"], lo, size)
         depth = cells.agg(F.max("level")).first()[0]
 
-    # Query boxes: cells of one level with tight bounds, about BOX queries each.
-    total = queries.count()
-    level = min(MAX_DEPTH, max(0, math.ceil(math.log(max(total / BOX, 1), 4))))
+    # Query boxes: cells one level above the leaves, with tight bounds; BOX queries per part.
+    level = max(0, depth - 1)
     q = queries.select("qid", "x", "y", "z", *_cell(F.lit(level), lo, size))
     q = q.select("qid", "x", "y", "z", F.concat_ws(",", "cx", "cy", "cz").alias("box"))
     boxes = q.groupBy("box").agg(F.count(F.lit(1)).alias("_q"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Sensor, Tsdf
 from ..functions import camera
 from ..functions.vec import V3, div, round_away
-from ..runtime import computed
+from ..runtime import computed, cut
 from .pixels import joined_pose, pose_columns
 
 MAP_SCHEMA = "gx long, gy long, gz long, sdf double, weight int, r long, g long, b long"
@@ -161,7 +161,8 @@ def frame_blocks(allocated: DataFrame, known: DataFrame, s: Sensor, cfg: Tsdf) -
     replaces pairing every frame with every block."""
     n = reach(s, cfg)
     near = F.sequence(F.lit(-n), F.lit(n))
-    d = allocated
+    # A frame touches a bounded number of blocks, so one shuffle by frame serves all three steps.
+    d = allocated.repartition("frame_id")
     for a in BLOCK:
         d = d.withColumn(f"_{a}", F.explode(near)).withColumn(a, F.col(a) + F.col(f"_{a}")).drop(f"_{a}")
         d = d.distinct()
@@ -322,7 +323,8 @@ def merge(obs: DataFrame, frames: DataFrame, cfg: Tsdf, prior: DataFrame | None
 def fuse(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, *,
          allocated: DataFrame | None = None) -> DataFrame:
     """Integrate every frame at its given pose and return the observed voxels."""
-    allocated = allocate(pixels, poses, s, cfg) if allocated is None else allocated
+    # Read twice below and far smaller than the pixels it comes from.
+    allocated = cut(allocate(pixels, poses, s, cfg)) if allocated is None else allocated
     pairs = frame_blocks(allocated, blocks(allocated), s, cfg)
     obs = observations(pairs, pixels, poses, s, cfg)
     return merge(obs, poses, cfg)

@@ -35,7 +35,7 @@ class MapStore:
 def integrate(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, voxels: DataFrame | None,
               known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(voxels, blocks) after merging the frames of ``pixels`` into an existing map."""
-    allocated = vx.allocate(pixels, poses, s, cfg)
+    allocated = cut(vx.allocate(pixels, poses, s, cfg))
     blocks = vx.blocks(allocated)
     if known is not None:
         blocks = known.unionByName(blocks).groupBy(*vx.BLOCK).agg(F.min("born").alias("born"))
