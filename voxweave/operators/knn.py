@@ -154,13 +154,18 @@ def knn(queries: DataFrame, nodes: DataFrame, k: int, *, exclude_self: bool = Fa
     root.update({b: F.lit(top[b]) for b in BOUNDS})
     frontier = boxes.withColumns(root)
     box_cols = ["box", "parts", *[f"b{b}" for b in BOUNDS]]
+    held = [*CELL[1:], "n", "leaf", *BOUNDS]
     for r in range(1, depth + 1):
-        kids = cells.filter(F.col("level") == r)
+        # A leaf has no kids, so it stays as it is; the left join reads the frontier only once.
+        kids = cells.filter(F.col("level") == r).select(
+            F.lit(r - 1).alias("level"), *[F.col(f"p{c}").alias(c) for c in CELL[1:]],
+            *[F.col(c).alias(f"k{c}") for c in held])
         kids = F.broadcast(kids) if r <= SMALL_LEVEL else kids
-        grown = frontier.filter(~F.col("leaf")).select(
-            *box_cols, *[F.col(c).alias(f"p{c}") for c in ("cx", "cy", "cz")])
-        grown = grown.join(kids, ["pcx", "pcy", "pcz"]).drop("pcx", "pcy", "pcz")
-        frontier = _prune(frontier.filter("leaf").unionByName(grown), need, floor)
+        grown = frontier.join(kids, CELL, "left")
+        inner = F.col("kn").isNotNull()
+        frontier = _prune(grown.select(
+            *box_cols, F.when(inner, F.lit(r)).otherwise(F.col("level")).alias("level"),
+            *[F.when(inner, F.col(f"k{c}")).otherwise(F.col(c)).alias(c) for c in held]), need, floor)
 
     wanted = frontier.select("box", "parts", *CELL)
     near = wanted.join(placed, CELL).select(
