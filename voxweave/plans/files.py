@@ -70,7 +70,7 @@ def src4(spark, sf):
 def src5(spark, sf):
     """Frames written as PNG images and decoded again."""
     s = t.BIG
-    png = images.png_images(t.pixels(spark, sf), s).cache()
+    png = images.png_images(t.pixels(spark, sf), s)
     full = t.pixels(spark, sf).select("frame_id", "idx")
 
     def decode(batches):
