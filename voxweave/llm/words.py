@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 20  # bytes hashed at a time
 _ODD = 0x9E3779B97F4A7C15
@@ -79,7 +80,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``size`` bytes; a longer text is a range of its own."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column.cast(pa.large_binary())), 0), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0), np.int64)
     ends = np.cumsum(lengths)
     at = 0
     while at < len(lengths):
