@@ -7,10 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxweave.llm import decontaminate, near_dedup
+from voxweave.llm import decontaminate, near_dedup, pieces, pii, quality_hosts
 from voxweave.runtime import ensure_checkpoint_dir
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or their host's failure rate reject go."""
+    verdict = quality_hosts.judge(docs)
+    return _without(docs, verdict.where("not kept").select("doc_id", "text_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
     verdict = near_dedup.near_duplicates(docs, threshold=0.8)
@@ -24,13 +30,25 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _without(docs, verdict.where("n_hit > 0").select("doc_id", "text_key"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in angle brackets; n_chars follows."""
+    found = pii.find(docs, pii.train(docs)).withColumn("text", F.col("redacted"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as the ids of its pieces."""
+    return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs that ``gone`` does not name by doc_id and hash of the text."""
     gone = gone.distinct().select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("personal_data", personal_data), ("encoding", encoding)]
 
 #: The groups of near duplicates, a trained model and the segmentation have no SQL form.
 ORACLE_SQL = None

@@ -222,12 +222,12 @@ class Pieces:
 
 
 def _lengths(back: list[int], end: int, start: int) -> list[int]:
-    """Lengths of a path's pieces, the last first."""
+    """Lengths of a path's pieces, the last first; the piece that reaches in from before is longer than any."""
     out = []
     while end > start:
         out.append(end - back[end])
         end = back[end]
-    return out
+    return [*out, 1 << 30]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,6 +247,8 @@ def prefixes(matrices: np.ndarray) -> np.ndarray:
 
 def states(scores: np.ndarray, ranks: np.ndarray) -> list[int]:
     """The state at the start of each chunk on the best path of all, and 0 at the end."""
+    # Only differences count; without the largest score of each chunk, sums over a long text stay exact.
+    scores = scores - scores.max((1, 2), keepdims=True)
     reach = prefixes(scores)[:, 0, :]
     out = [0]
     for k in range(len(scores) - 1, 0, -1):
