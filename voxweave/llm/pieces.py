@@ -17,16 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxweave.runtime import cut
 
-from .words import slices
+from .words import hash_spans, slices, utf8
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 8192
-_CACHED = 300_000
+CHUNK = 32_768
+_LONGEST_UNIT = 64  # bytes; longer units are rare and take the plain loop
 _NONE = float("-inf")
 
 
@@ -52,12 +53,135 @@ class Pieces:
         lined = any("\n" in p and len(p) > 1 for p in self.known)
         self.unit = re.compile("(?s).+" if spaced else "(?s) +[^ ]*|[^ ]+" if lined else r" +[^ \n]*|[^ \n]+|\n")
         self.simple = not spaced and not lined
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.cache = {"": b""}
-        if self.simple:
-            self.cache["\0"] = self.path("\n")
+        self.next = None
+
+    def _build(self) -> None:
+        """Tables for whole batches: a byte trie, each node's piece, each id's bytes."""
+        nodes, rows = {b"": 0}, []
+        ids = [-1]
+        for piece, (_, i) in self.known.items():
+            raw = piece.encode()
+            for k in range(1, len(raw) + 1):
+                if raw[:k] not in nodes:
+                    nodes[raw[:k]] = len(nodes)
+                    ids.append(-1)
+                    rows.append((nodes[raw[:k - 1]], raw[k - 1], nodes[raw[:k]]))
+            ids[nodes[raw]] = i
+        self.next = np.zeros((len(nodes), 256), np.int32)  # 0: no such prefix
+        a, b, c = np.array(rows, np.int64).reshape(-1, 3).T
+        self.next[a, b] = c
+        self.piece_of = np.array(ids, np.int32)
+        self.score_of = np.zeros(len(self.raw) + 1)
+        for s, i in self.known.values():
+            self.score_of[i] = s
+        self.score_of[-1] = self.lacking
+        self.byte_ids = np.array([self.byte.get(b, 0) for b in range(256)], np.int32)
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.bytes_at = np.cumsum(self.sizes) - self.sizes
+        self.all_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def encode_many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts, given as the bytes of texts that begin where a unit begins; first id of each text."""
+        if self.next is None:
+            self._build()
+        if not self.simple:
+            coded = [np.frombuffer(self.spaced(data[a:b].tobytes().decode()), np.int32) for a, b in zip(offsets[:-1], offsets[1:])]
+            return np.concatenate([np.zeros(0, np.int32), *coded]), np.cumsum([0, *map(len, coded)])
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-1] = (data[1:] == 10) | (data[:-1] == 10) | ((data[1:] == 32) & (data[:-1] != 32))
+        begin[offsets] = True
+        begin[-1] = False
+        starts = np.flatnonzero(begin)
+        ends = np.r_[starts[1:], len(data)] if len(starts) else starts
+        h = hash_spans(data, starts, ends)
+        _, some, which = np.unique(h, return_index=True, return_inverse=True)
+        ids, first = self._units(data, starts[some], ends[some])
+        count = np.diff(first)[which]
+        at = np.cumsum(count) - count
+        out = ids[np.repeat(first[:-1][which] - at, count) + np.arange(count.sum())]
+        text_first = np.r_[at, len(out)][np.searchsorted(starts, offsets)]
+        return out, text_first
+
+    def _units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units and the first of each, all units in step."""
+        n = ends - starts
+        long = np.flatnonzero(n > _LONGEST_UNIT)
+        plain = {int(k): np.frombuffer(self.path(data[starts[k]:ends[k]].tobytes().decode()), np.int32) for k in long}
+        n = np.where(n > _LONGEST_UNIT, 0, n)
+        base = np.cumsum(n + 1) - (n + 1)  # a unit has a slot for each of its positions and one for its end
+        unit = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+        source = starts[unit] + offset
+        slot = base[unit] + offset
+        left = n[unit] - offset
+        # every prefix of a piece from every position
+        node, live, size = np.zeros(len(unit), np.int32), np.arange(len(unit)), 0
+        found = []
+        width = np.select([data[source] >= 0xF0, data[source] >= 0xE0, data[source] >= 0xC0, data[source] >= 0x80], [4, 3, 2, 0], 1)
+        lone = width > 0
+        while len(live):
+            node = self.next[node, data[source[live] + size]]
+            size += 1
+            good = node > 0
+            live, node = live[good], node[good]
+            hit = self.piece_of[node] >= 0
+            found.append((live[hit], np.full(int(hit.sum()), size), self.piece_of[node[hit]]))
+            lone[live[hit][width[live[hit]] == size]] = False
+            good = left[live] > size
+            live, node = live[good], node[good]
+        alone = np.flatnonzero(lone)
+        found.append((alone, width[alone], np.full(len(alone), -1, np.int32)))
+        where, size, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(offset[where].astype(np.uint8), kind="stable")
+        where, size, piece = where[order], size[order], piece[order]
+        cuts = np.searchsorted(offset[where], np.arange(_LONGEST_UNIT + 1))
+        best, back, by = np.full(int((n + 1).sum()), _NONE), np.zeros(int((n + 1).sum()), np.int64), np.full(int((n + 1).sum()), -1, np.int32)
+        best[base] = 0.0
+        for k in range(_LONGEST_UNIT):
+            part = slice(cuts[k], cuts[k + 1])
+            frm = slot[where[part]]
+            to, value = frm + size[part], best[frm] + self.score_of[piece[part]]
+            better = value > best[to]  # one piece of each size: no target twice
+            best[to[better]], back[to[better]], by[to[better]] = value[better], frm[better], piece[part][better]
+        # walk back, all units at once
+        at, rows, steps = base + n, np.flatnonzero(n), []
+        while len(rows):
+            here = at[rows]
+            steps.append((rows, back[here], here, by[here]))
+            at[rows] = back[here]
+            rows = rows[at[rows] > base[rows]]
+        if steps:
+            rank = np.repeat(np.arange(len(steps)), [len(x[0]) for x in steps])
+            rows, frm, to, piece = (np.concatenate(x) for x in zip(*steps))
+            order = np.lexsort((-rank, rows))
+            rows, frm, to, piece = rows[order], frm[order], to[order], piece[order]
+        else:
+            rows = frm = to = np.zeros(0, np.int64)
+            piece = np.zeros(0, np.int32)
+        many = np.where(piece < 0, to - frm, 1)
+        ids = np.repeat(piece, many)
+        lead = np.repeat(starts[rows] + frm - base[rows], many) + np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many)
+        ids = np.where(ids < 0, self.byte_ids[data[lead]] if len(ids) else ids, ids).astype(np.int32)
+        count = np.bincount(rows, many, len(n)).astype(np.int64)
+        first = np.r_[0, np.cumsum(count)]
+        if plain:
+            parts = [plain.get(k, ids[first[k]:first[k + 1]]) for k in range(len(n))]
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return ids, first
+
+    def decode_many(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of several lists of ids, without the space put before a text."""
+        if self.next is None:
+            self._build()
+        size = self.sizes[ids]
+        at = np.cumsum(size) - size
+        out = self.all_bytes[np.repeat(self.bytes_at[ids] - at, size) + np.arange(size.sum())]
+        offsets = np.r_[at, len(out)][first]
+        full = offsets[:-1] < offsets[1:]
+        drop = np.zeros(len(out) + 1, bool)
+        drop[offsets[:-1][full]] = out[offsets[:-1][full]] == 32
+        gone = np.r_[0, np.cumsum(drop[:-1])]
+        return out[~drop[:-1]], offsets - gone[offsets]
 
     def __reduce__(self):
         rows = [("", 0.0, "other")] * len(self.raw)
@@ -113,27 +237,9 @@ class Pieces:
         """The ids of a unit as int32 bytes."""
         return self.ids(text, self.forward(text, len(text))[1], len(text))
 
-    def units(self, text: str) -> list[str]:
-        """Parts between places where no piece can reach across."""
-        if self.simple and "  " not in text and "\0" not in text:
-            return text.replace("\n", "\n\0\n").replace(" ", "\n ").split("\n")
-        return self.unit.findall(text)
-
     def spaced(self, text: str) -> bytes:
-        """The ids of a text that begins where a unit begins."""
-        units = self.units(text)
-        if "\0" in text:
-            return b"".join(map(self.path_cached, units))
-        if len(self.cache) > _CACHED:
-            self._fresh()
-        cache = self.cache
-        out = list(map(cache.get, units))
-        if None in out:
-            for k, x in enumerate(out):
-                if x is None:
-                    u = units[k]
-                    out[k] = cache[u] = cache.get(u) or self.path(u)
-        return b"".join(out)
+        """The ids of a text that begins where a unit begins, unit by unit."""
+        return b"".join(map(self.path, self.unit.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.spaced(" " + text) if text else b"", np.int32)
@@ -147,28 +253,10 @@ class Pieces:
         places = [m.start() for m in self.unit.finditer(text) if 0 < m.start() <= n]
         return (places[0], places[-1]) if places else (n + 1, 0)
 
-    def score(self, ids: bytes, text: str) -> float:
-        """Sum of scores of a unit's path."""
-        total, at, k, a = 0.0, 0, 0, np.frombuffer(ids, np.int32)
-        while k < len(a):
-            raw = self.raw[a[k]]
-            if a[k] in self._bytes:
-                width = len(text[at].encode())
-                total, at, k = total + self.lacking, at + 1, k + width
-            else:
-                piece = raw.decode()
-                total, at, k = total + self.known[piece][0], at + len(piece), k + 1
-        return total
-
-    @property
-    def _bytes(self) -> set[int]:
-        if not hasattr(self, "_byte_ids"):
-            self._byte_ids = set(self.byte.values())
-        return self._byte_ids
-
     def matrix(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Best scores from each state at the start of text[:n] to each state at its end; which start is preferred
-        among equals. ``text`` reaches beyond n by the length of a piece less one, if there is more."""
+        among equals. ``text`` reaches beyond n by the length of a piece less one, if there is more. Scores are relative:
+        what every path through the chunk has in common, between its first and last place to cut, is left out."""
         size = self.longest
         first, last = self.cuts(text, n)
         scores, ranks = np.full((size, size), _NONE), np.zeros((size, size), np.int32)
@@ -194,10 +282,9 @@ class Pieces:
         for s in range(min(size, first + 1)):
             best, back = self.forward(text[:first], first, s)
             heads.append((_lengths(back, first, s), s, best[first]))
-        middle = sum(self.score(self.path(u), u) for u in self.unit.findall(text[first:last]))
         tail = np.array(ends([_NONE] * last + self.forward(text[last:], n - last)[0]))
         for r, (_, s, head) in enumerate(sorted(heads)):
-            scores[s], ranks[s] = head + middle + tail, r
+            scores[s], ranks[s] = head + tail, r
         return scores, ranks
 
     def between(self, text: str, n: int, enter: int, leave: int) -> bytes:
@@ -208,18 +295,11 @@ class Pieces:
         if first > n or enter > first:
             return self.ids(text, self.forward(text, n, enter)[1], n + leave, enter)
         head = text[:first]
-        out = self.ids(head, self.forward(head, first, enter)[1], first, enter) + b"".join(map(self.path_cached, self.unit.findall(text[first:last])))
+        middle = np.frombuffer(text[first:last].encode(), np.uint8)
+        out = self.ids(head, self.forward(head, first, enter)[1], first, enter) + self.encode_many(middle, np.array([0, len(middle)]))[0].tobytes()
         tail = text[last:]
         return out + self.ids(tail, self.forward(tail, n - last)[1], n - last + leave)
 
-    def path_cached(self, unit: str) -> bytes:
-        found = self.cache.get(unit)
-        if found is None or unit == "\0":
-            found = self.path(unit)
-            if unit != "\0" and len(self.cache) < _CACHED:
-                self.cache[unit] = found
-        return found
-
 
 def _lengths(back: list[int], end: int, start: int) -> list[int]:
     """Lengths of a path's pieces, the last first; the piece that reaches in from before is longer than any."""
@@ -272,9 +352,10 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> D
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"], 1 << 20):
+            for a, b in slices(batch["text"], 1 << 19):
                 part = batch.slice(a, b - a)
-                yield pa.record_batch({"doc_id": part["doc_id"], "ids": _lists([shared.value.encode(x).tobytes() for x in part["text"].to_pylist()])})
+                ids, first = shared.value.encode_many(*_led(*utf8(part["text"])))
+                yield pa.record_batch({"doc_id": part["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))})
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,13 +399,27 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                texts = [None if x is None else shared.value.decode(x) for x in part["ids"].to_pylist()]
+                lists = part["ids"]
+                first = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))]
+                raw, offsets = shared.value.decode_many(np.asarray(lists.flatten(), np.int64), first)
+                texts = [None if not ok else raw[a:b].tobytes().decode("utf-8", "replace") for ok, a, b in zip(lists.is_valid().to_pylist(), offsets[:-1], offsets[1:])]
                 yield part.append_column("text", pa.array(texts, pa.string()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, text string")
 
 
+def _led(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a space before each, but for empty ones."""
+    full = np.diff(offsets) > 0
+    moved = offsets + np.r_[0, np.cumsum(full)]
+    out = np.full(len(data) + int(full.sum()), 32, np.uint8)
+    text = np.ones(len(out), bool)
+    text[moved[:-1][full]] = False
+    out[text] = data
+    return out, moved
+
+
 def _lists(rows: list[bytes]) -> pa.Array:
     offsets = np.cumsum([0, *(len(x) // 4 for x in rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))

@@ -6,6 +6,7 @@ whose ASCII part is any set and whose other part is "all" or "none" is a class o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -90,6 +91,26 @@ def slices(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of at most ``SEGMENT`` bytes in ascending order."""
+    table, powers, inverse = _tables()
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
+        part = data[base:int(ends[to - 1])]
+        if len(part) > SEGMENT:  # one span that is longer: its own digest
+            out[at] = np.uint64(int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little"))
+        else:
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(table[part] * powers[:len(part)], out=total[1:])
+            s, e = starts[at:to] - base, ends[at:to] - base
+            out[at:to] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 class Words:
     """Words of several texts: byte positions ``starts`` and ``ends``, ``first`` word of each text, hashes."""
 
