@@ -53,10 +53,10 @@ class Pieces:
         lined = any("\n" in p and len(p) > 1 for p in self.known)
         self.unit = re.compile("(?s).+" if spaced else "(?s) +[^ ]*|[^ ]+" if lined else r" +[^ \n]*|[^ \n]+|\n")
         self.simple = not spaced and not lined
-        self.next = None
+        self.next = self.sizes = None
 
     def _build(self) -> None:
-        """Tables for whole batches: a byte trie, each node's piece, each id's bytes."""
+        """Tables for whole batches: a byte trie and each node's piece."""
         nodes, rows = {b"": 0}, []
         ids = [-1]
         for piece, (_, i) in self.known.items():
@@ -76,6 +76,8 @@ class Pieces:
             self.score_of[i] = s
         self.score_of[-1] = self.lacking
         self.byte_ids = np.array([self.byte.get(b, 0) for b in range(256)], np.int32)
+
+    def _build_bytes(self) -> None:
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.bytes_at = np.cumsum(self.sizes) - self.sizes
         self.all_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
@@ -171,8 +173,8 @@ class Pieces:
 
     def decode_many(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of several lists of ids, without the space put before a text."""
-        if self.next is None:
-            self._build()
+        if self.sizes is None:
+            self._build_bytes()
         size = self.sizes[ids]
         at = np.cumsum(size) - size
         out = self.all_bytes[np.repeat(self.bytes_at[ids] - at, size) + np.arange(size.sum())]
@@ -352,7 +354,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> D
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"], 1 << 19):
+            for a, b in slices(batch["text"], 1 << 18):
                 part = batch.slice(a, b - a)
                 ids, first = shared.value.encode_many(*_led(*utf8(part["text"])))
                 yield pa.record_batch({"doc_id": part["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))})
@@ -397,8 +399,8 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 32):
+                part = batch.slice(at, 32)
                 lists = part["ids"]
                 first = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))]
                 raw, offsets = shared.value.decode_many(np.asarray(lists.flatten(), np.int64), first)
