@@ -54,3 +54,21 @@ def test_known_nearest(spark):
     q = spark.createDataFrame([(0, 9.0, 2.0, 0.0)], "qid long, x double, y double, z double")
     r = knn.nearest(q, n).first()
     assert r["node_id"] == 4 and abs(r["dist"] - 2 ** 0.5) < 1e-12
+
+
+def test_one_far_node_does_not_make_all_pairs(spark):
+    """A crowded spot beside a far node is divided as if it were alone."""
+    from pyspark.sql import functions as F
+    near = spark.range(3000).select(F.col("id").alias("node_id"), *[(F.rand(s) * 1e-4).alias(a) for s, a in ((1, "x"), (2, "y"), (3, "z"))])
+    far = spark.createDataFrame([(9999, 1000.0, 1000.0, 1000.0)], "node_id long, x double, y double, z double")
+    nodes = near.unionByName(far)
+    cells, placed = knn._tree(nodes, [0.0, 0.0, 0.0], 1000.0 * (1 + 1e-9))
+    leaves = placed.groupBy(*knn.CELL).count()
+    assert placed.count() == 3001 and leaves.agg(F.max("count")).first()[0] <= knn.LEAF
+
+
+def test_sample_of_large_ids(spark):
+    from voxweave.operators import graph
+    ids = [5, 2**62, 4_000_000_000, -3]
+    got = [r["vid"] for r in graph.sample_random(spark.createDataFrame([(i,) for i in ids], "vid long"), 4).collect()]
+    assert got == sorted(ids, key=lambda i: (i * 2654435761 % 2**32, i))

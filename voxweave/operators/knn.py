@@ -11,8 +11,6 @@ Everything is exact; ties go to the lower node id.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +22,8 @@ from ..runtime import cut
 
 LEAF = 256          # nodes per leaf
 BOX = 4096          # queries per task group
-MAX_DEPTH = 20
+ROUND = 6           # levels of the tree built at a time
+FINEST = 48         # here a cell is as small as the rounding of coordinates
 SMALL_LEVEL = 3     # the cells of levels up to this number at most 8^3 and may be broadcast
 CELL = ["level", "cx", "cy", "cz"]
 BOUNDS = ["x0", "x1", "y0", "y1", "z0", "z1"]
@@ -65,21 +64,32 @@ def _prune(frontier: DataFrame, need: int, floor: float) -> DataFrame:
         "_near", "_far", "_cum", "_reach")
 
 
-def _tree(nodes: DataFrame, count: int, lo, size: float):
-    """(cells with a leaf flag, nodes with their leaf) of the adaptive octree."""
-    deepest = min(MAX_DEPTH, math.ceil(math.log(count / LEAF, 4)) + 4)
-    per_level = nodes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
-    per_level = per_level.select("node_id", "x", "y", "z", "level", *_cell(F.col("level"), lo, size))
-    cells = per_level.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), *_bounds())
-    cells = cells.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == deepest))
-    # Cells below a leaf are never visited; the parent's count says whether there is one above.
-    parent = cells.filter(~F.col("leaf")).select(
-        (F.col("level") + 1).alias("level"), *[F.col(c).alias(f"p{c}") for c in ("cx", "cy", "cz")])
-    keyed = cells.withColumns({f"p{c}": F.shiftright(c, 1) for c in ("cx", "cy", "cz")})
-    cells = keyed.join(parent, ["level", "pcx", "pcy", "pcz"], "left_semi").unionByName(keyed.filter("level = 0"))
-    cells = cut(cells)
-    leaves = cells.filter("leaf").select(*CELL)
-    return cells, per_level.join(leaves, CELL)
+def _tree(nodes: DataFrame, lo, size: float):
+    """(cells with a leaf flag, nodes with their leaf) of the adaptive octree.
+
+    Some levels at a time; only the nodes of cells that are still too full go on, so that a
+    crowded spot is divided until its cells are small, however deep that is.
+    """
+    at, left, cells, placed = 0, nodes, None, None
+    while True:
+        per_level = left.select("node_id", "x", "y", "z", F.explode(F.sequence(F.lit(at), F.lit(min(at + ROUND, FINEST)))).alias("level"))
+        per_level = per_level.select("node_id", "x", "y", "z", "level", *_cell(F.col("level"), lo, size))
+        found = per_level.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), *_bounds())
+        found = found.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == FINEST))
+        # Cells below a leaf are never visited; the parent's count says whether there is one above.
+        parent = found.filter(~F.col("leaf")).select(
+            (F.col("level") + 1).alias("level"), *[F.col(c).alias(f"p{c}") for c in ("cx", "cy", "cz")])
+        keyed = found.withColumns({f"p{c}": F.shiftright(c, 1) for c in ("cx", "cy", "cz")})
+        below = keyed.filter(F.col("level") > at).join(parent, ["level", "pcx", "pcy", "pcz"], "left_semi")
+        fresh = cut(below.unionByName(keyed.filter(F.col("level") == 0)) if at == 0 else below)
+        own = per_level.join(fresh.filter("leaf").select(*CELL), CELL)
+        cells = fresh if cells is None else cells.unionByName(fresh)
+        placed = own if placed is None else placed.unionByName(own)
+        at += ROUND
+        full = fresh.filter((F.col("level") == at) & ~F.col("leaf"))
+        if at >= FINEST or full.isEmpty():
+            return cells, placed
+        left = cut(per_level.filter(F.col("level") == at).join(full.select(*CELL), CELL, "left_semi").select("node_id", "x", "y", "z"))
 
 
 def _nearest_in_task(k: int, need: int, exclude_self: bool, floor: float):
@@ -133,13 +143,8 @@ def knn(queries: DataFrame, nodes: DataFrame, k: int, *, exclude_self: bool = Fa
         return queries.sparkSession.createDataFrame([], schema)
     lo = [top[f"{a}0"] for a in "xyz"]
     size = max(max(top[f"{a}1"] - top[f"{a}0"] for a in "xyz"), 1e-300) * (1 + 1e-9)
-    if top["n"] <= LEAF:
-        depth, cells = 0, None
-        placed = nodes.select("node_id", "x", "y", "z", F.lit(0).alias("level"),
-                              *[F.lit(0).cast("long").alias(c) for c in CELL[1:]])
-    else:
-        cells, placed = _tree(nodes, top["n"], lo, size)
-        depth = cells.agg(F.max("level")).first()[0]
+    cells, placed = _tree(nodes, lo, size)
+    depth = cells.agg(F.max("level")).first()[0]
 
     # Query boxes: cells one level above the leaves, with tight bounds; BOX queries per part.
     level = max(0, depth - 1)
@@ -166,6 +171,8 @@ def knn(queries: DataFrame, nodes: DataFrame, k: int, *, exclude_self: bool = Fa
         frontier = _prune(grown.select(
             *box_cols, F.when(inner, F.lit(r)).otherwise(F.col("level")).alias("level"),
             *[F.when(inner, F.col(f"k{c}")).otherwise(F.col(c)).alias(c) for c in held]), need, floor)
+        if r % ROUND == 0:
+            frontier = cut(frontier)
 
     wanted = frontier.select("box", "parts", *CELL)
     near = wanted.join(placed, CELL).select(

@@ -18,10 +18,10 @@ from .surface import FACE_POS
 
 
 @query("src1_frame_index", """WITH p AS (SELECT 'rgb/' || printf('%.3f', value) || printf('%06d', event_id) || '.png' AS path,
-  (printf('%.3f', value) || printf('%06d', event_id))::DOUBLE AS ts FROM events WHERE value >= 0)
+  (printf('%.3f', value) || printf('%06d', event_id))::DOUBLE AS ts FROM events)
 SELECT row_number() OVER (ORDER BY ts, path) - 1 AS frame_id, path, ts FROM p""")
 def src1(spark, sf):
-    e = t.read(spark, sf, "events").filter("value >= 0")
+    e = t.read(spark, sf, "events")
     path = F.format_string("rgb/%.3f%06d.png", F.col("value") + F.lit(0.0), "event_id")
     return frames.frame_index(e.select(path.alias("path")))
 
@@ -86,7 +86,7 @@ def src5(spark, sf):
 def _obj(spark, sf):
     """The point mesh as OBJ text, numbered across its three sections."""
     lines = text.obj_lines(t.vertices(spark, sf), t.triangles(spark, sf))
-    return obj.parse(lines.select((F.col("section") * 1000000000 + F.col("ord")).alias("line"), F.col("line").alias("value")))
+    return obj.parse(lines.select("section", "ord", F.col("line").alias("value")), ["section", "ord"])
 
 
 _M = f"{t.points_sql()}, {t.vertices_sql()}, {t.triangles_sql()}"

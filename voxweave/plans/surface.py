@@ -170,12 +170,13 @@ def msh15_normalize(spark, sf):
 _SOUP = " UNION ALL ".join(f"SELECT fid * 3 + {k} AS vid, p{k}x AS x, p{k}y AS y, p{k}z AS z FROM fp" for k in range(3))
 
 
-@query("msh7_append_soup", f"""WITH {_M}, {FACE_POS}, s AS ({_SOUP}) SELECT vid, {t.r6('x')} AS x, {t.r6('y')} AS y, {t.r6('z')} AS z FROM s
-UNION ALL SELECT vid + 1000000, {t.r6('x + 1')}, {t.r6('y')}, {t.r6('z')} FROM s""")
+@query("msh7_append_soup", f"""WITH {_M}, {FACE_POS}, s AS ({_SOUP}) SELECT 2 * vid AS vid, {t.r6('x')} AS x, {t.r6('y')} AS y, {t.r6('z')} AS z FROM s
+UNION ALL SELECT 2 * vid + 1, {t.r6('x + 1')}, {t.r6('y')}, {t.r6('z')} FROM s""")
 def msh7(spark, sf):
     """Two soups put together: the mesh and a copy moved by one in x."""
     v, _ = mesh.soup(mesh.face_positions(t.triangles(spark, sf), t.vertices(spark, sf)))
-    both = mesh.append(v, v.select((F.col("vid") + 1000000).alias("vid"), (F.col("x") + 1.0).alias("x"), "y", "z"))
+    even = v.select((F.col("vid") * 2).alias("vid"), "x", "y", "z")
+    both = mesh.append(even, v.select((F.col("vid") * 2 + 1).alias("vid"), (F.col("x") + 1.0).alias("x"), "y", "z"))
     return both.select("vid", *[clean(F.col(a)).alias(a) for a in "xyz"])
 
 

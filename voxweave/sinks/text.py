@@ -62,7 +62,6 @@ def matrix_lines(matrix: DataFrame, first: int | None = None, last: int | None =
     return g.select(F.lit(0).alias("section"), F.col(a).alias("ord"), text.alias("line"))
 
 
-def graph_lines(described: DataFrame, limit: int | None = None) -> DataFrame:
-    """Lines of ``graph.describe``, optionally only the first ``limit`` nodes."""
-    out = described.select(F.lit(0).alias("section"), F.col("node_id").alias("ord"), "line")
-    return out.orderBy("ord").limit(limit) if limit else out
+def graph_lines(described: DataFrame) -> DataFrame:
+    """Lines of ``graph.describe``."""
+    return described.select(F.lit(0).alias("section"), F.col("node_id").alias("ord"), "line")
