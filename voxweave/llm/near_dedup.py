@@ -74,9 +74,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = 5)
     open_keys = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("hub")).where("low < high")
     rest = cut(known.join(open_keys.select("key", "hub"), "key").select("hub", "id", "root").distinct())
     more = _clusters_confirmed(rest, classes, docs, sketches, threshold, least, shingle)
-    label = components(links.unionByName(more))
+    # The further links join components that are known: only their roots take part.
+    upper = components(_rooted(more, label))
+    roots = label.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = upper.join(label.select("node"), "node", "left_anti")
+    roots = roots.unionByName(alone)
 
-    at_class = (member.join(label.select(F.col("node").alias("class"), "root"), "class", "left").select("row", "doc_id", F.coalesce("root", "class").alias("root")))
+    at_class = (member.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("row", "doc_id", F.coalesce("root", "class").alias("root")))
     at_class = cut(at_class)
     several = at_class.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
@@ -86,6 +90,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = 5)
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key"))
 
 
+def _rooted(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links between the roots of their ends."""
+    for end in ("a", "b"):
+        named = label.select(F.col("node").alias(end), F.col("root").alias("to"))
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return links.select("a", "b")
+
+
 def _salted_by(keys: DataFrame, large: np.ndarray) -> DataFrame:
     """Salt 0 for the keys of small buckets; rows of large ones are dealt over all salts and kept findable."""
     words = F.array(*[F.lit(int(x)) for x in large.view(np.int64)]) if large.any() else None
