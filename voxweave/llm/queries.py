@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_main, language_id, license_scan, near_dedup, pieces, pii, quality_hosts, secret_scan, substring_dedup
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
