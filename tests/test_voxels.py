@@ -55,6 +55,15 @@ def test_merge_is_the_sequential_fold(spark, how):
     assert not want
 
 
+def test_merge_of_levels_beyond_the_range(spark):
+    """The same map whether frames fill one chunk or many; a prior outside 0..255 counts as the nearest level."""
+    df = spark.createDataFrame([(f, 0, 0, 0, 0.1, 400 + f, 300, -5) for f in range(8)], OBS)
+    prior = spark.createDataFrame([(0, 0, 0, 0.5, 2, 900, 10, 10)], vx.MAP_SCHEMA)
+    near, far = (vx.merge(df.withColumn("frame_id", F.col("frame_id") * k), CFG, prior).collect() for k in (1, 5000))
+    assert [tuple(r)[4:] for r in near] == [tuple(r)[4:] for r in far] and abs(near[0]["sdf"] - far[0]["sdf"]) < 1e-12
+    assert near[0]["r"] == 255
+
+
 def test_block_hash_wraps_like_int32(spark):
     def model(x, y, z):
         h = np.int64(0)

@@ -243,7 +243,7 @@ def _renamed(prior: DataFrame) -> DataFrame:
 
 def fold(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
     """Merge observations in frame order. A voxel has at most one observation per frame, so
-    its array is bounded by the number of frames; see ``fold_chunked`` beyond a few thousand."""
+    its array is as long as the frames are many: the plain model of ``fold_chunked``, which ``merge`` uses."""
     g = _grouped(obs, G)
     if prior is not None:
         g = g.join(_renamed(prior), G, "full_outer").withColumn("_obs", F.coalesce("_obs", F.array()))
@@ -312,12 +312,14 @@ def fold_chunked(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None, chun
     return out.select(*G, "_m.*")
 
 
-def merge(obs: DataFrame, frames: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
-    """Fold observations of the given frames, in chunks once their ids span many frames."""
-    lo, hi = frames.agg(F.min("frame_id"), F.max("frame_id")).first()
-    if lo is not None and hi - lo >= CHUNK:
-        return fold_chunked(obs, cfg, prior)
-    return fold(obs, cfg, prior)
+def _levels_only(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(255), F.col(c))).cast("long") for c in "rgb"})
+
+
+def merge(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
+    """Fold observations in frame order, whatever their number. Colours are levels from 0 to 255: others, which a user
+    may have set, are taken as the nearest level."""
+    return fold_chunked(_levels_only(obs), cfg, None if prior is None else _levels_only(prior))
 
 
 def fuse(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, *,
@@ -327,7 +329,7 @@ def fuse(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, *,
     allocated = cut(allocate(pixels, poses, s, cfg)) if allocated is None else allocated
     pairs = frame_blocks(allocated, blocks(allocated), s, cfg)
     obs = observations(pairs, pixels, poses, s, cfg)
-    return merge(obs, poses, cfg)
+    return merge(obs, cfg)
 
 
 def with_blocks(voxels: DataFrame, cfg: Tsdf) -> DataFrame:

@@ -121,9 +121,11 @@ def grf3(spark, sf):
     return _pos(graph.sample_first(t.vertices(spark, sf), 273), "vid")
 
 
-@query("grf4_sample_with_replacement")
+@query("grf4_sample_with_replacement", f"""WITH {_V}, o AS (SELECT *, row_number() OVER (ORDER BY vid) - 1 AS at_ FROM vertices),
+d AS (SELECT i AS draw, CAST('0x' || substr(md5('1234:' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM vertices) AS at_ FROM range(273) r(i))
+SELECT draw, vid, {_XYZ} FROM d JOIN o USING (at_)""")
 def grf4(spark, sf):
-    return _pos(graph.sample_with_replacement(t.vertices(spark, sf), 0.5), "vid")
+    return _pos(graph.sample_with_replacement(t.vertices(spark, sf), 273), "draw", "vid")
 
 
 def solution(spark, sf):

@@ -170,21 +170,23 @@ def sol14_vector_sum(spark, sf):
     return _val(linalg.add_vectors(a, b, 1.0, 0.5))
 
 
-def _least_squares(spark, sf, dense_limit):
+def _least_squares(spark, sf):
     m = _coo(spark, sf)
     rhs = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), (-_dim(6)).alias("val"))
     a = linalg.matmul(linalg.transpose(m), m)
-    return _val(linalg.solve(a, linalg.gradient(m, rhs), 0.0, dense_limit))
+    return a, linalg.gradient(m, rhs)
 
 
 @query("sol13_solve_dense")
 def sol13_dense(spark, sf):
-    return _least_squares(spark, sf, 3000)
+    """The normal equations of all vectors by gradients."""
+    return _val(linalg.solve(*_least_squares(spark, sf)))
 
 
 @query("sol13_solve_gradients")
 def sol13_cg(spark, sf):
-    return _least_squares(spark, sf, 0)
+    """The same with damping."""
+    return _val(linalg.solve(*_least_squares(spark, sf), 0.5))
 
 
 @query("sol15_register_mesh")

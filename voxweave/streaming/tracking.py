@@ -41,7 +41,7 @@ def integrate(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, voxels:
         blocks = known.unionByName(blocks).groupBy(*vx.BLOCK).agg(F.min("born").alias("born"))
     pairs = vx.frame_blocks(allocated, blocks, s, cfg)
     obs = vx.observations(pairs, pixels, poses, s, cfg)
-    return vx.merge(obs, pixels, cfg, voxels), blocks
+    return vx.merge(obs, cfg, voxels), blocks
 
 
 def fuse_stream(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, store: MapStore,
