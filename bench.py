@@ -17,7 +17,8 @@ from voxweave.plans import load  # noqa: E402
 HEADLINE = ["img1_normals_from_points", "img7_bilateral", "img4_pyramid_depth", "vox14_ray_blocks", "vox16_fuse",
             "str3_fuse_given_poses", "vox17_interpolate", "vox18_generate_depth", "msh1_extract_mesh", "msh11_vertex_normals",
             "ray2_nearest_triangle", "ras4_z_buffer", "knn4_node_edges", "knn6_pixel_edges", "bld5_blend_mesh",
-            "sol1_normal_equations", "sol12_normal_matrix", "str4_nearest_in_time", "str7_running_mean"]
+            "sol1_normal_equations", "sol12_normal_matrix", "str4_nearest_in_time", "str7_running_mean",
+            "knn11_large_k", "sol2_register_frames", "str1_streamed_fusion"]
 
 
 def main() -> None:

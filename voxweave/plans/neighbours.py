@@ -129,8 +129,8 @@ def grf4(spark, sf):
 
 
 def solution(spark, sf):
-    """Six numbers per node from the embeddings, for the nodes of two labels."""
-    e = t.read(spark, sf, "embeddings").filter("label in (1, 2)")
+    """Six numbers per node from the embeddings."""
+    e = t.read(spark, sf, "embeddings")
     names = ("roll", "pitch", "yaw", "tx", "ty", "tz")
     return e.select(F.col("vec_id").alias("node_id"),
                     *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names, 10)])
@@ -138,7 +138,7 @@ def solution(spark, sf):
 
 SOLUTION = """sol AS (SELECT vec_id AS node_id, embedding[11]::DOUBLE AS roll, embedding[12]::DOUBLE AS pitch,
   embedding[13]::DOUBLE AS yaw, embedding[14]::DOUBLE AS tx, embedding[15]::DOUBLE AS ty, embedding[16]::DOUBLE AS tz
-  FROM embeddings WHERE label IN (1, 2))"""
+  FROM embeddings)"""
 SOLVED = f"""{SOLUTION}, half AS (SELECT *, cos(roll/2) AS cr, sin(roll/2) AS sr, cos(pitch/2) AS cp, sin(pitch/2) AS sp,
   cos(yaw/2) AS cy, sin(yaw/2) AS sy FROM sol),
   sq AS (SELECT *, cy*cp*cr + sy*sp*sr AS qw, cy*cp*sr - sy*sp*cr AS qx, sy*cp*sr + cy*sp*cr AS qy, sy*cp*cr - cy*sp*sr AS qz FROM half),

@@ -9,6 +9,7 @@ from ..functions.dualquat import PARTS
 from ..functions.plane import Plane
 from ..functions.vec import V3, clean
 from ..operators import knn, linalg, mesh, nonrigid, planefit
+from ..runtime import cut
 from . import dqsql as q
 from . import tables as t
 from .neighbours import BASE, CFG, VERTEX_EDGES, edges_sql, vertex_edges
@@ -70,8 +71,8 @@ def _jac_sql():
 JAC = _jac_sql()
 
 
-def _jacobian(spark, sf):
-    return nonrigid.data_jacobian(observations(spark, sf), t.nodes(spark, sf), vertex_edges(spark, sf), EPS)
+def _jacobian(spark, sf, edges=None):
+    return nonrigid.data_jacobian(observations(spark, sf), t.nodes(spark, sf), edges or vertex_edges(spark, sf), EPS)
 
 
 @query("sol9_data_jacobian", f"WITH {RES}, {JAC} SELECT i, j, {t.r6('val')} AS val FROM jac")
@@ -114,13 +115,14 @@ def sol11_jacobian(spark, sf):
 
 @query("sol12_normal_matrix", f"WITH {RES}, {JAC} SELECT a.j AS i, b.j AS j, round(sum(a.val * b.val), 5) + 0.0 AS val FROM jac a JOIN jac b ON a.i = b.i GROUP BY a.j, b.j")
 def sol12(spark, sf):
-    return linalg.gram(_jacobian(spark, sf)).select("i", "j", clean(F.col("val"), 5).alias("val"))
+    return linalg.gram(cut(_jacobian(spark, sf))).select("i", "j", clean(F.col("val"), 5).alias("val"))
 
 
 @query("sol12_gradient", f"WITH {RES}, {JAC} SELECT jac.j AS i, round(-sum(jac.val * res.val), 5) + 0.0 AS val FROM jac JOIN res USING (i) GROUP BY jac.j")
 def sol12_gradient(spark, sf):
-    r = nonrigid.residuals(observations(spark, sf), t.nodes(spark, sf), vertex_edges(spark, sf))
-    return linalg.gradient(_jacobian(spark, sf), r).select("i", clean(F.col("val"), 5).alias("val"))
+    edges = cut(vertex_edges(spark, sf))
+    r = nonrigid.residuals(observations(spark, sf), t.nodes(spark, sf), edges)
+    return linalg.gradient(_jacobian(spark, sf, edges), r).select("i", clean(F.col("val"), 5).alias("val"))
 
 
 # -- dense rows as sparse matrices -------------------------------------------------------
@@ -177,13 +179,28 @@ def _least_squares(spark, sf):
     return a, linalg.gradient(m, rhs)
 
 
-@query("sol13_solve_dense")
+def _eliminated(damping):
+    """The normal equations as one row, and a CTE per unknown that is eliminated."""
+    n = range(6)
+    start = [f"sum(e{p} * e{q}) + {damping if p == q else 0.0}::DOUBLE AS a{p}{q}" for p in n for q in n] + [f"sum(e{p} * e6) AS b{p}" for p in n]
+    raw = ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(7))
+    ctes = [f"s0 AS (SELECT {', '.join(start)} FROM (SELECT {raw} FROM embeddings))"]
+    for k in n:
+        cells = []
+        for p in n:
+            for c, by in [(f"a{p}{q}", f"a{k}{q}") for q in n if q > k] + [(f"b{p}", f"b{k}")]:
+                cells.append(f"{c} / a{k}{k} AS {c}" if p == k else f"{c} - a{p}{k} * {by} / a{k}{k} AS {c}")
+        ctes.append(f"s{k + 1} AS (SELECT {', '.join(cells)} FROM s{k})")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {p}::BIGINT AS i, {t.r6(f'b{p}')} AS val FROM s6" for p in n)
+
+
+@query("sol13_solve_dense", _eliminated(0.0))
 def sol13_dense(spark, sf):
     """The normal equations of all vectors by gradients."""
     return _val(linalg.solve(*_least_squares(spark, sf)))
 
 
-@query("sol13_solve_gradients")
+@query("sol13_solve_gradients", _eliminated(0.5))
 def sol13_cg(spark, sf):
     """The same with damping."""
     return _val(linalg.solve(*_least_squares(spark, sf), 0.5))
@@ -223,7 +240,27 @@ def _labelled(spark, sf):
                                                   *[_dim(i).alias(a) for i, a in enumerate("xyz")])
 
 
-@query("pln2_fit")
+def _fit_sql():
+    """Least eigenvalue by the angle form for symmetric 3x3 matrices, its vector as the longest product of two rows."""
+    at = lambda i, j: f"v{min(i, j)}{max(i, j)}"
+    rows = [[f"({at(a, b)} - low)" if a == b else at(a, b) for b in "xyz"] for a in "xyz"]
+    cross = lambda u, v: [f"{u[1]} * {v[2]} - {u[2]} * {v[1]}", f"{u[2]} * {v[0]} - {u[0]} * {v[2]}", f"{u[0]} * {v[1]} - {u[1]} * {v[0]}"]
+    options = " UNION ALL ".join(f"SELECT label, cx, cy, cz, {', '.join(f'{c} AS u{a}' for a, c in zip('xyz', cross(rows[i], rows[j])))} FROM e2" for i, j in ((0, 1), (0, 2), (1, 2)))
+    n, s = "sqrt(ux*ux + uy*uy + uz*uz)", "CASE WHEN uz < 0 THEN -1 ELSE 1 END"
+    return f"""WITH p AS (SELECT label::BIGINT AS label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+m AS (SELECT label, {', '.join(f'avg({a}) AS c{a}' for a in 'xyz')}, {', '.join(f'covar_pop({a}, {b}) AS v{a}{b}' for i, a in enumerate('xyz') for b in 'xyz'[i:])} FROM p GROUP BY label),
+e0 AS (SELECT *, (vxx + vyy + vzz) / 3 AS mid FROM m),
+e1 AS (SELECT *, sqrt(((vxx-mid)**2 + (vyy-mid)**2 + (vzz-mid)**2 + 2 * (vxy*vxy + vxz*vxz + vyz*vyz)) / 6) AS wide FROM e0),
+e2 AS (SELECT *, mid + 2 * wide * cos(acos(greatest(-1, least(1, ((vxx-mid) * ((vyy-mid)*(vzz-mid) - vyz*vyz) - vxy * (vxy*(vzz-mid) - vyz*vxz)
+  + vxz * (vxy*vyz - (vyy-mid)*vxz)) / (2 * wide**3)))) / 3 + 2 * pi() / 3) AS low FROM e1),
+o AS ({options}), l AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {n} DESC) AS k FROM o),
+f AS (SELECT label, cx, cy, cz, {', '.join(f'{s} * u{a} / {n} AS n{a}' for a in 'xyz')} FROM l WHERE k = 1),
+g AS (SELECT label, nx, ny, nz, -(nx*cx + ny*cy + nz*cz) AS d FROM f),
+r AS (SELECT label, avg(abs(nx*x + ny*y + nz*z + d)) AS residual FROM p JOIN g USING (label) GROUP BY label)
+SELECT label, {', '.join(f'{t.r6(c)} AS {c}' for c in ('nx', 'ny', 'nz', 'd', 'residual'))} FROM g JOIN r USING (label)"""
+
+
+@query("pln2_fit", _fit_sql())
 def pln2_fit(spark, sf):
     p = _labelled(spark, sf)
     planes = planefit.fit(p, "label")

@@ -63,12 +63,12 @@ def points_sql(name: str = "points") -> str:
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Points of the first three labels are nodes; those of label 0 are moved by (0, -0.5, 0.5)."""
+    """Every point is a node; those of label 0 are moved by (0, -0.5, 0.5)."""
     moved = F.col("label") == 0
 
     def part(v):
         return F.when(moved, F.lit(v)).otherwise(F.lit(0.0))
-    return read(spark, sf, "embeddings").filter("label <= 2").select(
+    return read(spark, sf, "embeddings").select(
         F.col("vec_id").alias("node_id"), F.col("vec_id").alias("vertex_id"),
         _dim(0).alias("x"), _dim(1).alias("y"), _dim(2).alias("z"),
         F.lit(1.0).alias("rw"), F.lit(0.0).alias("rx"), F.lit(0.0).alias("ry"),
@@ -82,7 +82,7 @@ def nodes_sql(name: str = "nodes") -> str:
       0.0::DOUBLE AS rx, 0.0::DOUBLE AS ry, 0.0::DOUBLE AS rz, 0.0::DOUBLE AS dw,
       0.0::DOUBLE AS dx, CASE WHEN label = 0 THEN -0.25::DOUBLE ELSE 0.0::DOUBLE END AS dy,
       CASE WHEN label = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS dz
-      FROM embeddings WHERE label <= 2)"""
+      FROM embeddings)"""
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,7 +57,7 @@ def bld5(spark, sf):
 
 _SRC = f"""src AS (SELECT vec_id AS node_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z,
   1.0::DOUBLE AS rw, {', '.join(f'0.0::DOUBLE AS {p}' for p in PARTS[1:6])}, CASE WHEN label = 9 THEN -0.25::DOUBLE ELSE 0.0 END AS dy,
-  CASE WHEN label = 9 THEN 0.25::DOUBLE ELSE 0.0 END AS dz FROM embeddings WHERE label >= 5)"""
+  CASE WHEN label = 9 THEN 0.25::DOUBLE ELSE 0.0 END AS dz FROM embeddings)"""
 
 
 @query("bld6_blend_to_mesh", f"""WITH {t.points_sql()}, {_SRC}, {edges_sql('points', 'idx', False, 0, nodes='src').replace(f'{t.RADIUS ** 2}::DOUBLE', '0.25::DOUBLE')},
@@ -65,7 +65,7 @@ _SRC = f"""src AS (SELECT vec_id AS node_id, label, embedding[1]::DOUBLE AS x, e
 FROM bs b LEFT JOIN src s ON s.node_id = b.qid), {q.unit_cte('wo', 'bu')}
 SELECT idx AS obs_id, {', '.join(f'{t.r6(c)} AS {a}' for c, a in zip(_POS, 'xyz'))} FROM points JOIN bu ON bu.qid = idx""")
 def bld6(spark, sf):
-    labels = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("obs_id"), "label").filter("label >= 5")
+    labels = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("obs_id"), "label")
     src = _obs(spark, sf).join(labels, "obs_id")
     moved = F.col("label") == 9
     vals = {"rw": F.lit(1.0), "dy": F.when(moved, -0.25).otherwise(0.0), "dz": F.when(moved, 0.25).otherwise(0.0)}

@@ -18,7 +18,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, slop: int, width: int |
     (integer units) at most ``slop`` away; the earlier stamp, then the lower id, wins a tie.
 
     No pairs are formed. Rows are sorted within short time slices of a key, so that a busy key
-    is spread over many tasks; what lies before and after a slice comes from slice summaries.
+    is spread over many tasks. A match lies within ``slop``, so that a slice needs only the ends
+    of the few slices around it: each slice's ends are handed to those.
     """
     width = width or max(slop // 16, 1)
     slot = F.floor(F.col("stamp") / width)
@@ -32,12 +33,12 @@ def nearest(left: DataFrame, right: DataFrame, key: str, slop: int, width: int |
     near = both.select(key, "slot", "stamp", "lid",
                        F.last(hit, ignorenulls=True).over(inside.rowsBetween(run, 0)).alias("_b"),
                        F.last(hit, ignorenulls=True).over(after.rowsBetween(run, 0)).alias("_a")).filter("lid is not null")
-    ends = both.groupBy(key, "slot").agg(F.min(hit).alias("_lo"), F.max(hit).alias("_hi"))
-    by = Window.partitionBy(key).orderBy("slot")
-    ends = ends.select(key, "slot",
-                       F.last("_hi", ignorenulls=True).over(by.rowsBetween(run, -1)).alias("_pb"),
-                       F.first("_lo", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_na"))
-    j = near.join(ends, [key, "slot"])
+    ends = both.filter("rid is not null").groupBy(key, "slot").agg(F.min(hit).alias("_lo"), F.max(hit).alias("_hi"))
+    reach = slop // width + 1
+    handed = ends.withColumn("_o", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).filter("_o <> 0")
+    around = handed.groupBy(key, (F.col("slot") + F.col("_o")).alias("slot")).agg(
+        F.max(F.when(F.col("_o") > 0, F.col("_hi"))).alias("_pb"), F.min(F.when(F.col("_o") < 0, F.col("_lo"))).alias("_na"))
+    j = near.join(around, [key, "slot"], "left")
     b, a = F.coalesce("_b", "_pb"), F.coalesce("_a", "_na")
     options = F.array(*[F.when(c.isNotNull(), F.struct(F.abs(c["t"] - F.col("stamp")).alias("gap"), c["t"].alias("t"), c["i"].alias("i")))
                         for c in (b, a)])
