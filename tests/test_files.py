@@ -113,6 +113,21 @@ def test_sphere_faces_outward_and_closed(spark):
     assert all(edges.get((b, a)) == 1 for a, b in edges)
 
 
+def test_nearest_with_one_hot_key_equals_brute_force(spark):
+    """Most rows share a key; slices of several widths, gaps wider than the slop, ties."""
+    rng = np.random.default_rng(9)
+    side = {n: [(0 if rng.random() < 0.8 else int(rng.integers(1, 4)), i, int(rng.integers(0, 3000))) for i in range(150)] for n in "lr"}
+    frames = {n: spark.createDataFrame(v, "k long, id long, stamp long") for n, v in side.items()}
+    for slop, width in ((40, None), (7, 3), (5, 100)):
+        want = set()
+        for k, i, at in side["l"]:
+            near = [(abs(t - at), t, j) for key, j, t in side["r"] if key == k and abs(t - at) <= slop]
+            if near:
+                gap, _, j = min(near)
+                want.add((k, i, j, gap))
+        assert {tuple(r) for r in sync.nearest(frames["l"], frames["r"], "k", slop, width).collect()} == want
+
+
 def test_nearest_streams_equal_batch(spark, tmp_path):
     rng = np.random.default_rng(4)
     base = 1_700_000_000
