@@ -12,9 +12,9 @@ from voxweave.runtime import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's failure rate reject go."""
+    """Documents that the base rules, the further rules or their host's failure rates reject go."""
     verdict = quality_hosts.judge(docs)
-    return _without(docs, verdict.where("not kept").select("doc_id", "text_key"))
+    return _without(docs, verdict.where("not sound").select("doc_id", "text_key"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,6 +109,23 @@ def test_hosts_shrink(spark):
     assert quality_hosts.judge(bad.unionByName(bad.withColumn("source", F.lit("g")).limit(1)), limit=0.9).where("kept").count() == 0
 
 
+def test_further_rules_reject_junk_and_spare_clean_documents(spark):
+    import corpus_pipeline
+
+    word = lambda i, j: f"w{i}x{j}"
+    clean = lambda i: " ".join(word(i, j) for j in range(80))
+    menu = lambda i: "\n".join(f"home {i} news" if j % 2 else f"page {i} about item{j}" for j in range(40))
+    rows = [(i, clean(i), "mixed") for i in range(6)] + [(6, " | # ".join(word(6, j) for j in range(80)), "mixed"), (7, menu(7), "mixed"),
+            (8, " ".join("q" * 40 + str(j) for j in range(80)), "mixed"), (9, " ".join(f"{j % 10} {chr(97 + j % 26)}" for j in range(200)), None),
+            (10, " ".join(f"語{chr(0x4e00 + j)}" * 8 for j in range(80)), None), (11, None, None)]
+    near = clean(12) + " #" * 7  # 7 symbols among 87 words: close to the bound
+    rows += [(12, near, "mixed"), (13, near, "bad")] + [(20 + i, clean(i) + " |" * 40, "bad") for i in range(30)] + [(60 + i, clean(60 + i), "good") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {*range(6), 10, 12, *range(60, 90)}
+    assert quality_hosts.judge(docs.limit(0)).count() == 0
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     first, ledger = secret_scan.scan(docs)
     old = {r["doc_id"]: r["spans"] for r in first.collect()}
