@@ -92,6 +92,16 @@ def test_near_copies_in_one_large_bucket(spark):
     assert rows_of(near_dedup.near_duplicates(docs).drop("text_key")) == Counter(brute.groups(rows))
 
 
+def test_small_buckets_that_share_bits_with_a_large_one(spark):
+    large, small = 7, [7 + (k << 16) for k in range(1, 40)]
+    rows = [(i, large) for i in range(near_dedup._LARGE + 1)] + [(10_000 * k + i, key) for k, key in enumerate(small, 1) for i in range(3)] + [(5, 8), (6, 8), (7, 9)]
+    got = rows_of(near_dedup._star(spark.createDataFrame(rows, "id long, key long")).select("key", "hub", "id"))
+    first = {}
+    for i, key in sorted(rows):
+        first.setdefault(key, i)
+    assert got == Counter((key, first[key], i) for i, key in rows if i != first[key])
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 16, (200, near_dedup.MINIMA), dtype=np.uint8)

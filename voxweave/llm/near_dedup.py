@@ -17,7 +17,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxweave.runtime import cut
@@ -27,7 +27,7 @@ from .probe import bitmap, probe
 from .words import SPACED_LOWER, Words, constants, mix, slices, utf8
 
 MINIMA, BANDS, BITS = 192, 64, 4
-_BY, _SALTS, _BLOCK = 0x9FB21C651E98DF25, 16, 512
+_BY, _SALTS, _BLOCK, _LARGE = 0x9FB21C651E98DF25, 16, 512, 1000
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = 5) -> DataFrame:
@@ -60,11 +60,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = 5)
 
     keys = classes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
         i.alias("band"), F.substring("bands", 1 + 8 * i, F.lit(8)).alias("key")))).alias("k")).select("id", F.xxhash64("k.band", "k.key").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1000, _SALTS - 1).otherwise(0))))
-    # Only a large bucket has more than one salt: the others' rows are found by salt 0.
-    large = bitmap(hubs.where("salt = 1").select("key"), F.col("key"), 16)
-    buckets = cut(_salted_by(keys, large).join(hubs, ["key", "salt"]).where("id <> hub").select("key", "hub", "id"))
+    buckets = cut(_star(keys))
     least = threshold - 5 * (threshold * (1 - threshold) / MINIMA) ** 0.5 / (1 - 2.0 ** -BITS) ** 0.5
     star = _estimated(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, least)
     links = cut(_confirmed(star, docs, sketches, threshold, shingle))
@@ -98,15 +94,24 @@ def _rooted(links: DataFrame, label: DataFrame) -> DataFrame:
     return links.select("a", "b")
 
 
-def _salted_by(keys: DataFrame, large: np.ndarray) -> DataFrame:
-    """Salt 0 for the keys of small buckets; rows of large ones are dealt over all salts and kept findable."""
-    words = F.array(*[F.lit(int(x)) for x in large.view(np.int64)]) if large.any() else None
-    if words is None:
-        return keys.withColumn("salt", F.lit(0))
+def _star(keys: DataFrame) -> DataFrame:
+    """keys(id, key) -> key, hub, id: each row of a bucket of several but the bucket's smallest id, with that id."""
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    large = bitmap(hubs.where(F.col("n") > _LARGE).select("key"), F.col("key"), 16)
+    # One test of the key decides for both sides: a small bucket that shares its low bits with a large one is dealt too.
+    hubs = hubs.withColumn("salt", F.explode(F.when(_may(large), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salted = keys.withColumn("salt", F.when(_may(large), F.pmod(F.hash("id"), F.lit(_SALTS))).otherwise(0))
+    return salted.join(hubs, ["key", "salt"]).where("id <> hub").select("key", "hub", "id")
+
+
+def _may(large: np.ndarray) -> Column:
+    """Whether the bitmap of large buckets has the bit of ``key``."""
+    if not large.any():
+        return F.lit(False)
+    words = F.array(*[F.lit(int(x)) for x in large.view(np.int64)])
     low = F.col("key").bitwiseAND(F.lit((64 * len(large)) - 1))
-    bit = F.expr("shiftright(element_at(words, cast(shiftright(low, 6) as int) + 1), cast(low & 63 as int)) & 1")
-    may = keys.withColumn("words", words).withColumn("low", low).withColumn("may", bit == 1)
-    return may.select("key", "id", F.when(F.col("may"), F.pmod(F.hash("id"), F.lit(_SALTS))).otherwise(0).alias("salt"))
+    word = F.element_at(words, F.shiftright(low, 6).cast("int") + 1)
+    return F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def _sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
