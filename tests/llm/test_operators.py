@@ -180,6 +180,20 @@ def test_main_text(spark):
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_keeps_titles_at_any_length():
+    para = "Some text, with commas, and enough words to count as a paragraph of an article."
+    for n in (1, 3, 12, 60):
+        body = "".join(f"<p>{para} {i}</p>" for i in range(n))
+        inner = f"<h1>Title</h1><p>By me</p><div class=entry>{body}</div><h2>Code</h2><pre>x = 1</pre><p>Short.</p>"
+        lines = ["Title", "By me", *[f"{para} {i}" for i in range(n)], "Code", "x = 1", "Short."]
+        page = lambda x: f"<body><nav><a href=/>Home</a></nav>{x}<footer>f</footer></body>"
+        for tag in ("article", "main", "main><article", "div id=content"):
+            assert html_main.main_text(page(f"<{tag}>{inner}</{tag.split()[0].replace('><', '></')}>")).split("\n") == lines, (tag, n)
+        around = f"<h1>Title</h1><ul class=x><li><a href=/1>One</a></li></ul><article>{body}</article><article>{body}</article><h3>More</h3><ul><li><a href=/2>Two</a></li></ul>"
+        paragraphs = [f"{para} {i}" for i in range(n)]
+        assert html_main.main_text(page(f"<div>{around}</div>")).split("\n") == ["Title", *paragraphs, *paragraphs]
+
+
 def test_licenses(spark):
     mit = dict.fromkeys(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 200)
     text = next(iter(mit))

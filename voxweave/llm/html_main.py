@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree. Paragraphs pass points for their length and commas to their ancestors, less with each level;
-a container's points are discounted by the share of its text in links. The best container is kept, with siblings that
-score nearly as well, and the text of its blocks is joined in page order. Menus, forms and the like are cut out first,
+a container's points are discounted by the share of its text in links. The best container, or the article around it, is
+kept with siblings that belong to it, and the text of its blocks is joined in page order. Menus, forms and the like are cut out first,
 by element and by the names of classes.
 """
 
@@ -25,6 +25,8 @@ DROPPED = frozenset("script style noscript template title head nav footer aside
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 PARAGRAPHS = frozenset("p pre blockquote td li dd div section article figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BESIDE = frozenset("p pre ul ol dl table blockquote figure".split())
 #: Words of class names and ids that mark what is not part of an article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus cookie cookies consent notice notices popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
@@ -208,18 +210,44 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def _chosen(best: Node) -> list[Node]:
+    """The best container, or the article or main part around it, and what belongs to it among its siblings.
+
+    Siblings stay if they score a fifth of the best or more, and as headings, paragraphs, lists, tables and the like with
+    few links; a heading after the best stays only if what follows it does. Beside an article or main part only headings
+    and articles of a fifth of its text are looked at, as the rest of the page is there.
+    """
+    x = best
+    while x is not None and not (x.main and x.linked < 0.5 * x.size):
+        x = x.parent
+    best = x or best
+    if best.parent is None:
+        return [best]
+    least = max(10.0, 0.2 * best.points)
+    kept, after, follows = [], True, False
+    for x in reversed(best.parent.parts):
+        if x is best:
+            kept.append(x)
+            after = False
+        elif isinstance(x, Node) and not x.dropped and x.size:
+            few = x.linked < 0.25 * x.size
+            if x.tag in HEADINGS:
+                follows = few and (follows or not after)
+            elif best.main:
+                follows = few and x.tag == best.tag == "article" and x.size >= 0.2 * best.size
+            else:
+                follows = x.points >= least or few and x.tag in BESIDE
+            if follows:
+                kept.append(x)
+    return kept[::-1]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by a line break; empty if there is none."""
     if not page:
         return ""
     root = parse(page)
-    best = score(root)
-    kept = [best]
-    if best.parent is not None and not best.main:
-        least = max(10.0, 0.2 * best.points)
-        kept = [x for x in best.parent.parts if x is best or isinstance(x, Node) and not x.dropped and x.size and (
-            x.points >= least or x.tag == "p" and x.size > 80 and x.linked < 0.25 * x.size)]
-    return "\n".join(_blocks(kept))
+    return "\n".join(_blocks(_chosen(score(root))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
