@@ -209,6 +209,23 @@ def test_licenses(spark):
         assert (len(got[d]) > 0) == any(dice(u, x) >= 0.8 for u in units for _, x in license_scan.TEMPLATES)
 
 
+def test_licenses_inside_texts_and_lines(spark):
+    from pathlib import Path
+
+    full = {x.stem: x.read_text() for x in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) for i in range(40))
+    header = next(t for n, t in license_scan.HEADERS if n == "Apache-2.0").split()
+    header = "\n".join(" # " + " ".join(header[i:i + 9]) for i in range(0, len(header), 9))
+    rows = [(f"{prose}\n{full[n]}\n{prose}", [n]) for n in sorted(full)]
+    rows += [("MIT License\n\nCopyright (c) 2024 Jane Doe\n\n" + full["MIT"], ["MIT"]), (f"{prose}\n{header}\n{prose}\n{header}", ["Apache-2.0", "Apache-2.0"]),
+             ("Copyright 2024 Jane Doe. Licensed under the MIT License.", ["MIT"]), ("We hope it helps you a lot. Released under the MIT License.", ["MIT"]),
+             ("It is all yours. Licensed under the GNU General Public License v2.0. Have fun with it.", ["GPL-2.0"]), ("What we wrote here is ours. All rights reserved.", ["All-rights-reserved"]),
+             ("Put here and licensed under CC BY-NC-SA 4.0 for you all to read.", ["CC-BY-NC-SA-4.0"]), (prose, []), ("of the rights of the license and under the terms of the work", [])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: sorted(x["license"] for x in r["licenses"] if x["unit"] == license_scan.WINDOW) for r in license_scan.scan(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
 def test_languages(spark, docs):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(real.select("doc_id", "lang"), "doc_id").where("held_out").collect()
