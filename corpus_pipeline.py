@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxweave.llm import decontaminate, near_dedup, pieces, pii, quality_hosts
-from voxweave.runtime import ensure_checkpoint_dir
+from voxweave.runtime import cut, ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    verdict = near_dedup.near_duplicates(docs, threshold=0.8)
-    return _without(docs, verdict.where("not kept").select("doc_id", "text_key"))
+    """One row of each group of near duplicates stays, with the smallest doc_id; repeated rows count as duplicates."""
+    verdict = near_dedup.one_of_each(docs, threshold=0.8)
+    named = cut(verdict.groupBy("doc_id", "text_key").agg(F.max("one").alias("stays"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+                .where("not stays or n > 1 and n_shingles > 0"))
+    # Rows with the same id and text differ in other columns at most: the smallest by these stays.
+    again = named.where("stays").select("doc_id", "text_key")
+    if again.isEmpty():
+        return _without(docs, named)
+    few = docs.join(again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), _same_row(), "left_semi")
+    few = few.groupBy("doc_id", F.xxhash64("text").alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return _without(docs, named).unionByName(few)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +51,12 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs that ``gone`` does not name by doc_id and hash of the text."""
-    gone = gone.distinct().select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    gone = gone.select("doc_id", "text_key").distinct().select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(gone, _same_row(), "left_anti")
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),

@@ -280,3 +280,16 @@ def test_pipeline(spark, tmp_path):
     kept = {d: t for d, t in rows if d in (1, 6, 7)}
     kept[6] = kept[6].replace("x.y@mail.example.com", "<EMAIL>")
     assert {r["doc_id"]: r["text"] for r in out} == kept
+
+
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a, "s"), (1, a, "r"), (1, a, "s"), (2, a, "s"), (None, b, "s"), (None, b, "s"), (None, b + " end", "s"), (3, c, "s"), (3, d, "s"), (None, c, "s"), (4, "", "s"), (4, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rows_of(corpus_pipeline.near_duplicates(spark, docs, ""))
+    texts = Counter(r[1][:1] for r in got.elements())
+    assert texts == Counter({"a": 1, "b": 1, "c": 1, "d": 1, "": 2})
+    assert {(1, a, "r"), (3, c, "s"), (3, d, "s")} <= set(got)
+    assert rows_of(corpus_pipeline.near_duplicates(spark, docs.where("doc_id > 1"), "")) == Counter({(2, a, "s"): 1, (3, c, "s"): 1, (3, d, "s"): 1, (4, "", "s"): 2})

@@ -45,6 +45,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = 5)
     0.9999. Signatures reject a pair only if the estimate is five deviations below the threshold. Similarity is the
     exact quotient of set sizes over shingle hashes of 64 bits.
     """
+    sketches, at_class = _grouped(docs, threshold, shingle)
+    several = at_class.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    named = _named(at_class, several)
+    return (sketches.select("row", "doc_id", "text_key", "n_shingles").join(named.withColumn("_in", F.lit(True)), "row", "left")
+            .withColumn("component_id", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")))
+            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.85, shingle: int = 5) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, text_key, n_shingles, one: as :func:`near_duplicates`, but ``one`` is true for
+    just one row of each component, that of the smallest doc_id (null ids last) and of these the first. Wordless texts
+    have no component: always true."""
+    sketches, at_class = _grouped(docs, threshold, shingle)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    several = at_class.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.row").alias("first"))
+    return (sketches.select("row", "doc_id", "text_key", "n_shingles").join(_named(at_class, several), "row", "left")
+            .select("doc_id", "text_key", "n_shingles", F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("one")))
+
+
+def _named(at_class: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows of components of several rows, with the columns of ``several``."""
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return at_class.select("row", "root").withColumn("salt", F.pmod(F.hash("row"), F.lit(_SALTS))).join(several, ["root", "salt"], "inner").drop("root", "salt")
+
+
+def _grouped(docs: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their signatures, and the rows with words (row, doc_id, root) with the root of their component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows_per_band = max(1, int(log(0.19) / log(threshold)))
     sketches = cut(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64("text")).mapInArrow(
@@ -77,13 +104,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = 5)
     roots = roots.unionByName(alone)
 
     at_class = (member.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("row", "doc_id", F.coalesce("root", "class").alias("root")))
-    at_class = cut(at_class)
-    several = at_class.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    named = (at_class.withColumn("salt", F.pmod(F.hash("row"), F.lit(_SALTS))).join(several, ["root", "salt"], "inner").select("row", "component_id"))
-    return (sketches.select("row", "doc_id", "text_key", "n_shingles").join(named.withColumn("_in", F.lit(True)), "row", "left")
-            .withColumn("component_id", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")))
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key"))
+    return sketches, cut(at_class)
 
 
 def _rooted(links: DataFrame, label: DataFrame) -> DataFrame:
