@@ -237,6 +237,13 @@ def test_languages(spark, docs):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_more_languages_than_one_word_holds(spark):
+    rows = [(i, " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{x}" * 2 for x in "bcdfgh") + "\n", f"l{i:03}") for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs, least_count=1)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_pieces(spark, docs):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto

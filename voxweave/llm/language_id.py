@@ -1,6 +1,6 @@
 """Language identification by bit-sliced Bloom filters of byte n-grams.
 
-A slot of the filter is a bitmask with one bit per language. An n-gram has ``HASHES`` slots; the AND of their masks
+A slot of the filter is a bitmask with one bit per language, in words of 63 languages each. An n-gram has ``HASHES`` slots; the AND of their masks
 names every language whose filter holds the n-gram, so that one lookup answers for all languages. A document's count
 for a language is corrected for the filter's rate of false positives.
 """
@@ -18,7 +18,7 @@ from voxweave.runtime import cut
 
 from .words import mix, slices, utf8
 
-GRAM, HASHES, SLOT_BITS, MOST_LANGUAGES = 4, 2, 20, 63
+GRAM, HASHES, SLOT_BITS, WORD = 4, 2, 20, 63
 _STEP = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -64,8 +64,8 @@ class Model:
     """Filter slots, the languages' names and rates of false positives, and the most frequent language."""
 
     def __init__(self, masks: np.ndarray, languages: list[str], common: str):
-        self.masks, self.languages, self.common = masks, languages, common
-        fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+        self.masks, self.languages, self.common = masks, languages, common  # masks[i // 63] has the bit of language i
+        fill = np.array([((masks[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(languages))])
         self.false_rate = np.minimum(fill ** HASHES, 0.99)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -73,13 +73,15 @@ class Model:
         n, k = len(offsets) - 1, len(self.languages)
         total, counts = np.zeros(n), np.zeros((n, k))
         for gram, text in _grams(data, offsets):
-            mask = None
-            for slot in _slots(gram):
-                found = self.masks[slot]
-                mask = found if mask is None else mask & found
+            slots = _slots(gram)
             total += np.bincount(text, minlength=n)
-            for i in range(k):
-                counts[:, i] += np.bincount(text, ((mask >> np.uint64(i)) & np.uint64(1)).astype(np.float64), minlength=n)
+            for word, masks in enumerate(self.masks):
+                mask = None
+                for slot in slots:
+                    found = masks[slot]
+                    mask = found if mask is None else mask & found
+                for i in range(word * WORD, min(k, (word + 1) * WORD)):
+                    counts[:, i] += np.bincount(text, ((mask >> np.uint64(i % WORD)) & np.uint64(1)).astype(np.float64), minlength=n)
         true = np.maximum(0.0, (counts - total[:, None] * self.false_rate) / (1 - self.false_rate)) if k else counts
         texts, names, scores = column.to_pylist(), [], np.zeros(n)
         for i in range(n):
@@ -101,15 +103,13 @@ def train(docs: DataFrame, least_count: int = 2, share: float = 0.5) -> Model:
 
     An n-gram is put into a language's filter if it occurs there ``least_count`` times and its frequency there is at
     least ``share`` of its highest frequency in any language. n-grams are counted in batches and summed in Spark. The
-    driver receives the filter, 2**20 slots at most, and the list of languages: 63 at most, more are an error.
+    driver receives the filter, 2**20 slots at most for each 63 languages, and the list of languages.
     """
     docs = docs.where("lang is not null and text is not null").select("lang", "text")
-    sizes = docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = docs.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return Model(np.zeros(1 << SLOT_BITS, np.uint64), [], "und")
+        return Model(np.zeros((0, 1 << SLOT_BITS), np.uint64), [], "und")
     common = min(sizes, key=lambda r: (-r["count"], r["lang"]))["lang"]
     counted = (docs.mapInArrow(lambda it: _counts(it, languages), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
                .select(F.shiftright("key", 32).cast("int").alias("lang"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("gram"), "n"))
@@ -117,18 +117,18 @@ def train(docs: DataFrame, least_count: int = 2, share: float = 0.5) -> Model:
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
     rated = counted.join(F.broadcast(totals), "lang").withColumn("f", F.col("n") / F.col("total"))
     peak = rated.groupBy("gram").agg(F.max("f").alias("peak"), F.collect_list(F.struct("lang", "n", "f")).alias("each"))
-    chosen = peak.select("gram", F.aggregate("each", F.lit(0).cast("long"), lambda m, x: F.when(
-        (x["n"] >= least_count) & (x["f"] >= share * F.col("peak")), m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"]))).otherwise(m)).alias("mask")).where("mask <> 0")
+    word = F.floor(F.col("x.lang") / WORD).cast("int")
+    chosen = (peak.select("gram", "peak", F.explode("each").alias("x")).where((F.col("x.n") >= least_count) & (F.col("x.f") >= share * F.col("peak")))
+              .select("gram", word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x.lang", F.lit(WORD)).cast("int")).alias("mask")))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = np.asarray(batch["mask"])
             for slot in _slots(np.asarray(batch["gram"]).astype(np.uint32)):
-                yield pa.record_batch({"slot": slot.astype(np.int64), "mask": mask})
+                yield pa.record_batch({"word": batch["word"], "slot": slot.astype(np.int64), "mask": batch["mask"]})
 
-    filled = chosen.mapInArrow(slots, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
-    masks = np.zeros(1 << SLOT_BITS, np.uint64)
-    masks[filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    filled = chosen.mapInArrow(slots, "word int, slot long, mask long").groupBy("word", "slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    masks = np.zeros((-(-len(languages) // WORD), 1 << SLOT_BITS), np.uint64)
+    masks[filled["word"].to_numpy(np.int64), filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
     return Model(masks, languages, common)
 
 
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     n-gram: the most frequent learned language, score 0. Equal evidence: the first language by name. Null or repeated
     doc_id: rows are independent. Empty table: no rows. Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for each 63 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
