@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_main, language_id, license_scan, near_dedup, pieces, pii, quality_hosts, secret_scan, substring_dedup
+from . import decontaminate, html_main, importance, language_id, license_scan, near_dedup, pieces, pii, quality_hosts, secret_scan, substring_dedup, token_counts, vector_codes
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -94,3 +94,18 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     coded = pieces.encode(_table(spark, sf, "documents"))
     return pieces.decode(coded).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.codes_and_errors(_table(spark, sf, "embeddings"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf, "documents"))
+
+
+@query
+def op13_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))

@@ -142,5 +142,71 @@ SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (place = {i}) A
 FROM doc LEFT JOIN named USING (r) GROUP BY r
 """
 
+_CRC = """crc_step(byte, k, c) AS (
+    SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) g(i) UNION ALL
+    SELECT byte, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS entries FROM crc_step WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, with crc_table at hand."""
+    step = "lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])"
+    bytes_of = f"[CAST('0x' || substr(hex({text}), 2 * i - 1, 2) AS BIGINT) FOR i IN range(1, strlen({text}) + 1)]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), {step}), 4294967295)"
+
+
+def _product_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds unrolled. d(r, p, k): squared distance of part p of vector r to entry k."""
+    far = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+            SELECT r, p, arg_min(k, [d, k]) AS k, min(d) AS d FROM (SELECT x.r, x.p, c.k, {far} AS d FROM part x JOIN book{i} c USING (p)) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""mean{i} AS (
+                SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+                    SELECT p, k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                        SELECT p, k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM near{i} JOIN part USING (r, p)) GROUP BY p, k, j) GROUP BY p, k),
+            book{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN mean{i} m USING (p, k))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+    SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM kept, (SELECT unnest(range({parts})) AS p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS k, v FROM part WHERE r <= {entries}),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
+OP11 = _product_codes()
+
+OP13 = f"""
+WITH RECURSIVE {_tokens("documents", _lower("text"), _ALNUM, "doc_id", "tok")},
+{_tokens("benchmark", _lower("text"), _ALNUM, "item_id", "own")},
+{_CRC},
+hashed AS MATERIALIZED (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM tok UNION ALL SELECT word FROM own)), crc_table),
+source AS (SELECT bucket, count(*) AS n FROM tok JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS n FROM own JOIN hashed USING (word) GROUP BY bucket),
+size AS (SELECT (SELECT coalesce(sum(n), 0) FROM source) AS s, (SELECT coalesce(sum(n), 0) FROM target) AS t),
+gain AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(b.n, 0) + 1.0::DOUBLE) * (s + 10000) / ((a.n + 1.0::DOUBLE) * (t + 10000)))) AS BIGINT) AS gain
+    FROM source a LEFT JOIN target b USING (bucket), size),
+weighed AS (SELECT r, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n FROM tok JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+    SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+           CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+    FROM tok_row LEFT JOIN weighed USING (r)),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features DESC) AS place,
+           count(*) OVER (PARTITION BY n_features >= 20) AS fit FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM ranked
+"""
+
 SQL = {"op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op3_quality_hosts": OP3, "op7_near_dedup": OP7,
-       "op8_secret_scan": OP8}
+       "op8_secret_scan": OP8, "op11_vector_codes": OP11, "op13_importance": OP13}
