@@ -71,7 +71,7 @@ class NonRigid:
     epsilon: float = 1e-6
     converged: float = 1e-6
     damping: float = 1e-9
-    dense_limit: int = 3000
+    leaf: int = 64      # nodes of a cell that is eliminated at once
 
 
 def from_mapping(cls, values: dict):

@@ -8,7 +8,7 @@ from ..config import NonRigid
 from ..functions.dualquat import PARTS
 from ..functions.plane import Plane
 from ..functions.vec import V3, clean
-from ..operators import knn, linalg, mesh, nonrigid, planefit
+from ..operators import frontal, knn, linalg, mesh, nonrigid, planefit
 from ..runtime import cut
 from . import dqsql as q
 from . import tables as t
@@ -206,6 +206,18 @@ def sol13_cg(spark, sf):
     return _val(linalg.solve(*_least_squares(spark, sf), 0.5))
 
 
+@query("sol13_solve_fronts", f"WITH {RES}, {JAC}, g AS (SELECT j AS i, -sum(jac.val * res.val) AS val FROM jac JOIN res USING (i) GROUP BY j), "
+       f"u AS (SELECT node_id * 6 + p AS i FROM nodes, range(6) r(p)) SELECT i, round(coalesce(val, 0), 5) + 0.0 AS val FROM u LEFT JOIN g USING (i)")
+def sol13_fronts(spark, sf):
+    """The non-rigid step of all nodes by elimination, put back into the equations: (A + damping I) x must be the gradient."""
+    damping, nodes = 1e-3, t.nodes(spark, sf)
+    a, b = nonrigid.system(observations(spark, sf), nodes, cut(vertex_edges(spark, sf)))
+    a = cut(a)
+    x = cut(frontal.solve(a, b, nodes, damping=damping))
+    back = linalg.add_vectors(linalg.matvec(a, x), x, 1.0, damping)
+    return back.select("i", clean(F.col("val"), 5).alias("val"))
+
+
 @query("sol15_register_mesh")
 def sol15(spark, sf):
     """Node transforms after the solver; the points are to move by a fixed small shift."""
