@@ -210,20 +210,41 @@ def test_rendered_depth_matches_brute_force(spark, sphere):
         assert abs(d - depth) < 1e-9
 
 
+def _same_map(a, b):
+    key = ["gx", "gy", "gz", "weight", "r", "g", "b"]
+    a, b = (d.select(*key, F.round("sdf", 9).alias("sdf")) for d in (a, b))
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def test_stream_equals_batch(spark, sphere, tmp_path):
+    """Frames cut in two by files, rows that come a file late, repeated rows, a file of rows that come too late."""
     pix, poses, vox = sphere
-    for f in range(3):
-        pix.filter(F.col("frame_id") == f).coalesce(1).write.parquet(str(tmp_path / "in" / f"frame{f}"))
-    stream = (spark.readStream.schema(pix.schema).option("maxFilesPerTrigger", 1)
-              .parquet(str(tmp_path / "in" / "frame*")))
+    rows = pix.withColumn("ts", F.timestamp_seconds(F.col("frame_id") + 1))
+    half = F.col("idx") % 3
+    parts = [rows.filter((F.col("frame_id") == 0) & (half != 0)),
+             rows.filter((F.col("frame_id") == 0) & (half == 0) | (F.col("frame_id") == 1) & (half == 0)),
+             rows.filter((F.col("frame_id") == 1) & (half < 2)),  # a third of it again
+             rows.filter((F.col("frame_id") == 1) & (half == 2) | (F.col("frame_id") == 2)),
+             spark.range(1).select(F.timestamp_seconds(F.lit(100)).alias("ts")),
+             rows.filter((F.col("frame_id") == 0) & (half == 1)).withColumn("depth", F.col("depth") / 2)]
+    for part in parts:
+        rows.limit(0).unionByName(part, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     versions = []
-    store = tracking.MapStore(str(tmp_path / "map"))
-    tracking.fuse_stream(stream, poses, S, FINE, store, str(tmp_path / "ck"), versions.append).awaitTermination()
-    assert versions == [0, 1, 2]
-    got = store.read(spark, "voxels", 2)
-    key = ["gx", "gy", "gz", "weight", "r", "g", "b"]
-    a, b = (d.select(*key, F.round("sdf", 9).alias("sdf")) for d in (got, vox))
-    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    store = tracking.MapStore(str(tmp_path / "map"), full=2)  # full versions and changes both
+    tracking.fuse_stream(stream, poses, S, FINE, store, str(tmp_path / "ck"), versions.append, delay="1 second").awaitTermination()
+    assert versions == list(range(versions[-1] + 1)) and versions[-1] >= 5
+    assert _same_map(store.read(spark, "voxels", versions[-1]), vox)
+
+
+def test_store_keeps_what_later_versions_leave(spark, tmp_path):
+    store = tracking.MapStore(str(tmp_path), full=3)
+    for version in range(5):
+        rows = [(0, 0, version, version)] + ([(9, 9, 9, version)] if version == 1 else [])
+        store.write(spark.createDataFrame(rows, "bx long, by long, bz long, born long"), "blocks", version)
+    got = {tuple(r) for r in store.read(spark, "blocks", 4).collect()}
+    assert got == {(0, 0, v, v) for v in range(5)} | {(9, 9, 9, 1)}
+    assert {tuple(r) for r in store.read(spark, "blocks", 2).collect()} == {(0, 0, 0, 0), (0, 0, 1, 1), (0, 0, 2, 2), (9, 9, 9, 1)}
 
 
 def test_ray_depth_of_triangles_matches_brute_force(spark):

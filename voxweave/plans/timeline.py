@@ -17,6 +17,7 @@ from .registry import query
 from .voxel import FUSED_POSED
 
 HOUR = 3600 * 1000000
+STREAM_FILES = 4
 _TOPICS = """l AS (SELECT user_id, event_id AS id, epoch_us(ts) AS stamp FROM events WHERE event_type = 'click'),
   r AS (SELECT user_id, event_id AS id, epoch_us(ts) AS stamp FROM events WHERE event_type = 'view')"""
 
@@ -81,13 +82,23 @@ def str9(spark, sf):
 
 @query("str1_streamed_fusion", f"WITH RECURSIVE {FUSED_POSED} SELECT gx, gy, gz, {t.r6('sdf')} AS sdf, weight, r, g, b FROM fused")
 def str1(spark, sf):
-    """The posed frames as a stream; the map it leaves equals the batch one."""
+    """The posed frames as a stream of several files that cut frames in two and bring a part of the rows one file late;
+    the map it leaves equals the batch one."""
     folder = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    schema = t.read(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
-    last = []
-    stream = tracking.fuse_stream(t.frames_of(events, t.SMALL), t.poses(spark, sf), t.SMALL, t.COARSE,
-                                  tracking.MapStore(os.path.join(folder, "map")), os.path.join(folder, "offsets"), last.append)
-    stream.awaitTermination()
-    out = tracking.MapStore(os.path.join(folder, "map")).read(spark, "voxels", last[-1])
+    pixels = t.pixels(spark, sf, t.SMALL)
+    last, total = pixels.select((F.max("frame_id")).alias("f"), F.count(F.lit(1)).alias("n")).first()
+    stamped = pixels.withColumn("ts", F.timestamp_seconds(F.col("frame_id") + 1))  # a watermark starts at second 0
+    at = F.col("frame_id") * (t.SMALL.rows * t.SMALL.cols) + F.col("idx")
+    own = F.floor(at * STREAM_FILES / F.lit(total))
+    late = F.when((F.xxhash64("frame_id", "idx") % 16 == 0) & (own < STREAM_FILES - 1), 1).otherwise(0)
+    for k in range(STREAM_FILES):  # the order in which the files come is that of their times
+        stamped.filter(own + late == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    span = last // STREAM_FILES + 3
+    end = stamped.limit(0).unionByName(spark.range(1).select(F.timestamp_seconds(F.lit(last + 2 * span)).alias("ts")), allowMissingColumns=True)
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(stamped.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    store, done = tracking.MapStore(os.path.join(folder, "map")), []
+    tracking.fuse_stream(stream, t.poses(spark, sf), t.SMALL, t.COARSE, store, os.path.join(folder, "offsets"), done.append,
+                         delay=f"{span} seconds").awaitTermination()
+    out = store.read(spark, "voxels", done[-1])
     return out.select(*vx.G, clean(F.col("sdf")).alias("sdf"), "weight", "r", "g", "b")

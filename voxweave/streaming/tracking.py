@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,49 +17,82 @@ from ..runtime import cut
 
 
 class MapStore:
-    """Versions of a map in a shared folder: voxels and the blocks with their first frame. A
-    batch writes its own version, so a repeated batch overwrites the same one."""
+    """Versions of a map in a shared folder: voxels, and the blocks with their first frame. A batch writes only the rows
+    that it changes; every ``full`` versions all rows are written, so that a reader takes one full version and the
+    changes since. A repeated batch overwrites its own version."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    KEYS = {"voxels": vx.G, "blocks": vx.BLOCK}
+
+    def __init__(self, folder: str, full: int = 16):
+        self.folder, self.full = folder, full
 
     def _at(self, kind: str, version: int) -> str:
         return os.path.join(self.folder, kind, f"v{version}")
 
     def read(self, spark, kind: str, version: int) -> DataFrame:
-        return spark.read.parquet(self._at(kind, version))
-
-    def write(self, df: DataFrame, kind: str, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._at(kind, version))
+        """All rows as of a version: of each key the row that was written last."""
+        key = self.KEYS[kind]
+        parts = [spark.read.parquet(self._at(kind, v)).withColumn("_v", F.lit(v)) for v in range(version - version % self.full, version + 1)]
+        if len(parts) == 1:
+            return parts[0].drop("_v")
+        every = reduce(DataFrame.unionByName, parts)
+        rest = [c for c in every.columns if c not in (*key, "_v")]
+        return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).select(*key, "_r.*")
+
+    def write(self, changed: DataFrame, kind: str, version: int) -> None:
+        if version and version % self.full == 0:
+            key = self.KEYS[kind]
+            kept = self.read(changed.sparkSession, kind, version - 1).join(changed.select(*key), key, "left_anti")
+            changed = kept.unionByName(changed)
+        changed.write.mode("overwrite").parquet(self._at(kind, version))
 
 
 def integrate(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, voxels: DataFrame | None,
-              known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(voxels, blocks) after merging the frames of ``pixels`` into an existing map."""
+              known: DataFrame | None, changed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(voxels, blocks) after merging the frames of ``pixels`` into an existing map; with ``changed``, only the voxels
+    that the frames see and the blocks that are new."""
     allocated = cut(vx.allocate(pixels, poses, s, cfg))
     blocks = vx.blocks(allocated)
+    new = blocks
     if known is not None:
+        new = blocks.join(known.select(*vx.BLOCK), vx.BLOCK, "left_anti")
         blocks = known.unionByName(blocks).groupBy(*vx.BLOCK).agg(F.min("born").alias("born"))
     pairs = vx.frame_blocks(allocated, blocks, s, cfg)
     obs = vx.observations(pairs, pixels, poses, s, cfg)
-    return vx.merge(obs, cfg, voxels), blocks
+    if changed and voxels is not None:
+        obs = cut(obs)  # also names the voxels that are read
+        voxels = voxels.join(obs.select(*vx.G).distinct(), vx.G, "left_semi")
+    return vx.merge(obs, cfg, voxels), new if changed else blocks
+
+
+def whole_frames(pixels: DataFrame, stamp: str, delay: str) -> DataFrame:
+    """One row per frame of a stream of pixel rows, with its rows as an array ``pixels``, once no more can come.
+
+    All rows of a frame carry its time ``stamp``. The rows are kept as state, over any number of micro-batches, until the
+    watermark (the latest stamp less ``delay``) has passed it; a batch thus gives all frames up to some time that no
+    earlier batch gave. Rows that come later than that are dropped by the engine. A last row with a null frame_id and a
+    stamp beyond ``delay`` releases what is left. State is as large as the frames within ``delay``.
+    """
+    rest = [c for c in pixels.columns if c not in ("frame_id", stamp)]
+    return (pixels.withWatermark(stamp, delay).groupBy("frame_id", stamp)
+            .agg(F.collect_list(F.struct(*rest)).alias("pixels")))
 
 
-def fuse_stream(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, store: MapStore,
-                checkpoint: str, on_batch=None) -> StreamingQuery:
-    """Merge a stream of pixel rows into the map, in batch order and by frame within a batch.
-    A frame must not be spread over two batches."""
+def fuse_stream(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, store: MapStore, checkpoint: str,
+                on_batch=None, *, stamp: str = "ts", delay: str = "10 seconds") -> StreamingQuery:
+    """Merge a stream of pixel rows into the map in the order of frames, which must be that of their stamps. A frame may
+    be spread over several batches, see :func:`whole_frames`; a pixel that is sent twice counts once."""
     def update(batch: DataFrame, version: int):
         spark = batch.sparkSession
         old = [None, None] if version == 0 else [store.read(spark, k, version - 1) for k in ("voxels", "blocks")]
-        batch = cut(batch)
-        voxels, blocks = integrate(batch, poses, s, cfg, *old)
+        rows = batch.filter("frame_id is not null").select("frame_id", F.inline("pixels")).dropDuplicates(["frame_id", "idx"])
+        voxels, blocks = integrate(cut(rows), poses, s, cfg, *old, changed=True)
         store.write(voxels, "voxels", version)
         store.write(blocks, "blocks", version)
         if on_batch:
             on_batch(version)
-    return (pixels.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return (whole_frames(pixels, stamp, delay).writeStream.outputMode("append").foreachBatch(update)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def track_to_frame(pixels: DataFrame, s: Sensor, cfg: Rigid) -> DataFrame:
