@@ -46,6 +46,27 @@ def test_png_filters():
     assert (frames.decode_png(png)[:, :, 0] == img).all()
 
 
+@pytest.mark.parametrize("kind,shape", [(np.uint8, (7, 9)), (np.uint16, (6, 4)), (np.uint8, (5, 3, 3)), (np.uint16, (1, 6)), (np.uint8, (6, 1, 3))])
+@pytest.mark.parametrize("modes", [(1,), (2,), (3,), (4,), (4, 0, 3, 1, 2)])
+def test_filtered_png_round_trip(kind, shape, modes):
+    a = np.random.default_rng(4).integers(0, np.iinfo(kind).max, shape).astype(kind)
+    assert (frames.decode_png(frames.encode_png(a, modes)).reshape(shape) == a).all()
+
+
+def test_large_filtered_png_in_bounded_time():
+    import time
+    a = np.random.default_rng(5).integers(0, 65535, (480, 640)).astype(np.uint16)
+    png = frames.encode_png(a, (3, 4))
+    began = time.perf_counter()
+    assert (frames.decode_png(png)[:, :, 0] == a).all()
+    assert time.perf_counter() - began < 3  # some 600,000 bytes
+
+
+def test_write_folder_refuses_remote_roots(spark):
+    with pytest.raises(ValueError, match="mounted"):
+        images.write_folder(spark.range(0), "hdfs://x/y", Sensor())
+
+
 def test_dataset_folder(spark, tmp_path):
     s = Sensor(rows=4, cols=5, depth_scale=5000.0)
     rng = np.random.default_rng(3)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.vec import clean
 from ..operators import graph, knn, mesh
+from ..runtime import ensure_checkpoint_dir
 from ..sinks import images, text
 from ..sources import frames, obj
 from . import tables as t
@@ -83,6 +87,18 @@ def src5(spark, sf):
     return full.join(back, ["frame_id", "idx"]).withColumn("depth", clean(F.col("depth")))
 
 
+@query("src6_frame_folder", f"""WITH {PIX}, o AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id DESC) - 1 AS n FROM (SELECT DISTINCT frame_id FROM pixels)),
+i AS (SELECT n, k FROM o, range({t.BIG.rows * t.BIG.cols}) r(k))
+SELECT n AS frame_id, k AS idx, {t.r6('floor(coalesce(depth, 0) * 5000 + 0.5) / 5000')} AS depth, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b
+FROM i JOIN o USING (n) LEFT JOIN pixels p ON p.frame_id = o.frame_id AND p.idx = k""")
+def src6(spark, sf):
+    """Frames written as a folder of filtered PNG files, the last one first in time; listed, paired and decoded."""
+    root = os.path.join(ensure_checkpoint_dir(spark), f"frames-{uuid.uuid4().hex}")
+    images.write_folder(t.pixels(spark, sf).withColumn("ts", 1e6 - F.col("frame_id") / 30.0), root, t.BIG, (1, 2, 3, 4, 0))
+    back = frames.read_folder(spark, root, t.BIG)
+    return back.select("frame_id", "idx", clean(F.col("depth")).alias("depth"), "r", "g", "b")
+
+
 def _obj(spark, sf):
     """The point mesh as OBJ text, numbered across its three sections."""
     lines = text.obj_lines(t.vertices(spark, sf), t.triangles(spark, sf))

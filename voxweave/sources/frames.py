@@ -83,43 +83,47 @@ def decode_png(data: bytes) -> np.ndarray:
     cols, rows, depth, ch = head[0], head[1], head[2], _CHANNELS[head[3]]
     step = ch * depth // 8
     raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(rows, cols * step + 1)
-    out = np.zeros((rows, cols * step), np.uint8)
-    above = np.zeros(cols * step, np.int64)
-    for y in range(rows):
-        out[y] = _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int64), above, step)
-        above = out[y].astype(np.int64)
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(rows, cols, step))
     kind = ">u2" if depth == 16 else np.uint8
     return out.reshape(-1).view(kind).reshape(rows, cols, ch).astype(np.uint16 if depth == 16 else np.uint8)
 
 
-def _unfilter(mode, line, above, step):
-    if mode == 0:
-        return line
-    if mode == 2:
-        return (line + above) & 255
-    if mode == 1:
-        return np.cumsum(line.reshape(-1, step), axis=0).reshape(-1) & 255
-    done = np.zeros_like(line)
-    for i in range(len(line)):
-        left = done[i - step] if i >= step else 0
-        if mode == 3:
-            guess = (left + above[i]) // 2
-        else:
-            corner = above[i - step] if i >= step else 0
-            est = left + above[i] - corner
-            dl, da, dc = abs(est - left), abs(est - above[i]), abs(est - corner)
-            guess = left if dl <= da and dl <= dc else above[i] if da <= dc else corner
-        done[i] = (line[i] + guess) & 255
-    return done
-
-
-def encode_png(image: np.ndarray) -> bytes:
-    """PNG of a (rows, cols[, 3]) uint8 or uint16 array."""
+def _guess(mode: np.ndarray, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What a row's filter (0 to 4) predicts for samples from those beside, above and before the one above."""
+    est = left + up - corner
+    dl, du, dc = abs(est - left), abs(est - up), abs(est - corner)
+    nearest = np.where((dl <= du) & (dl <= dc), left, np.where(du <= dc, up, corner))
+    return np.choose(mode, [np.zeros_like(left), left, up, (left + up) >> 1, nearest])
+
+
+def _unfiltered(modes: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """Samples (rows, cols, bytes of a pixel) from what the filters left. Pixels on a diagonal do not depend on each
+    other, so that a step takes one from every row."""
+    rows, cols, step = coded.shape
+    if not modes.any():
+        return np.ascontiguousarray(coded)
+    if modes.max() > 4:
+        raise ValueError("unknown PNG row filter")
+    full, coded = np.zeros((rows + 1, cols + 1, step), np.int16), coded.astype(np.int16)
+    for k in range(rows + cols - 1):
+        y = np.arange(max(0, k - cols + 1), min(rows, k + 1))
+        x = k - y
+        guess = _guess(modes[y][:, None], full[y + 1, x], full[y, x + 1], full[y, x])
+        full[y + 1, x + 1] = (coded[y, x] + guess) & 255
+    return full[1:, 1:].astype(np.uint8)
+
+
+def encode_png(image: np.ndarray, modes: tuple[int, ...] = (0,)) -> bytes:
+    """PNG of a (rows, cols[, 3]) uint8 or uint16 array; row y is filtered by ``modes[y % len(modes)]``."""
     image = image[:, :, None] if image.ndim == 2 else image
     rows, cols, ch = image.shape
     deep = image.dtype == np.uint16
-    lines = image.astype(">u2" if deep else np.uint8).reshape(rows, -1).view(np.uint8)
-    raw = b"".join(b"\0" + r.tobytes() for r in lines)
+    lines = image.astype(">u2" if deep else np.uint8).reshape(rows, -1).view(np.uint8).reshape(rows, cols, -1)
+    mode = np.resize(np.array(modes, np.uint8), rows)
+    full = np.zeros((rows + 1, cols + 1, lines.shape[2]), np.int16)
+    full[1:, 1:] = lines
+    left = lines - _guess(mode[:, None, None], full[1:, :-1], full[:-1, 1:], full[:-1, :-1])
+    raw = np.c_[mode, (left & 255).astype(np.uint8).reshape(rows, -1)].tobytes()
 
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -164,3 +168,9 @@ def load_dataset(spark: SparkSession, root: str, association: str | None = None)
     r = rgb.select(F.col("ts").alias("rts"), F.col("path").alias("rgb_path"))
     j = a.join(d, "dts").join(r, "rts")
     return with_running(j, ["line"], ordinal="frame_id").select("frame_id", "depth_path", "rgb_path")
+
+
+def read_folder(spark: SparkSession, root: str, s: Sensor, association: str | None = None) -> DataFrame:
+    """Pixel rows of a folder of frames: listed, paired (see :func:`load_dataset`) and decoded."""
+    depth, rgb = (os.path.join(root, kind) for kind in ("depth", "rgb"))
+    return read_pixels(spark, load_dataset(spark, root, association), s, depth, rgb)
