@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxweave.config import Sensor, Tsdf
-from voxweave.operators import marching, mesh, raster
+from voxweave.operators import marching, mesh, raster, rigid
 from voxweave.operators import voxels as vx
 from voxweave.operators import voxelray
+from voxweave.runtime import cut
 from voxweave.streaming import tracking
 
 CFG = Tsdf(voxel_size=0.1, block_size=4, truncation=0.3, max_weight=5)
@@ -279,11 +280,41 @@ def test_ray_depth_of_triangles_matches_brute_force(spark):
             assert abs(got[idx] - min(ts)) < 1e-9
 
 
-def test_track_to_model(spark, sphere):
+def _tracked_alone(pixels, frames, tracking_cfg):
+    """One sequence as a plain loop: render, align, merge."""
+    pose, out, voxels, blocks = np.eye(4), [], None, None
+    spark = pixels.sparkSession
+    for fid in frames:
+        frame = pixels.filter(F.col("frame_id") == fid)
+        if voxels is not None:
+            seen = voxelray.generate_depth(voxels, pose, S, FINE).filter(F.col("depth") < FINE.max_depth)
+            model = seen.select(F.lit(fid).cast("long").alias("frame_id"), "idx", (F.col("idx") % S.cols).alias("u"), F.expr(f"idx div {S.cols}").alias("v"), "depth")
+            row = rigid.register(frame, model, S, tracking_cfg).select(*rigid.POSE).first()
+            pose = pose @ np.vstack([np.array(row, dtype=float).reshape(3, 4), [0, 0, 0, 1]])
+        out.append(pose)
+        m = spark.createDataFrame([(int(fid), *map(float, pose[:3].reshape(12)))], "frame_id long, " + ", ".join(f"{c} double" for c in rigid.POSE))
+        voxels, blocks = (cut(d) for d in tracking.integrate(frame, rigid.poses_of(m), S, FINE, voxels, blocks))
+    return out, voxels
+
+
+def test_track_to_model_keeps_sequences_apart(spark, sphere):
+    """Two sequences together, one of them with a gap, equal each of them alone."""
     from voxweave.config import Rigid
     pix, _, _ = sphere
-    poses, vox = tracking.track_to_model(pix, [0, 1], S, Rigid(iterations=(0, 0, 2)), FINE)
-    assert len(poses) == 2 and vox.count() > 0 and np.isfinite(poses[1]).all()
+    steps = Rigid(iterations=(0, 0, 2))
+    plan = {0: {0: 0, 1: 1, 2: 2}, 1: {0: 2, 2: 0}}  # sequence: step: frame
+    rows = None
+    for seq, frames in plan.items():
+        for step, fid in frames.items():
+            part = pix.filter(F.col("frame_id") == fid).withColumns({"seq": F.lit(seq), "step": F.lit(step)}).drop("frame_id")
+            rows = part if rows is None else rows.unionByName(part)
+    poses, maps = tracking.track_to_model(rows, S, steps, FINE, full=2)
+    got = {(r["seq"], r["step"]): np.array([r[c] for c in rigid.POSE]).reshape(3, 4) for r in poses.collect()}
+    assert sorted(got) == [(q, k) for q, frames in plan.items() for k in frames]
+    for seq, frames in plan.items():
+        want, voxels = _tracked_alone(pix, list(frames.values()), steps)
+        assert all(np.abs(got[seq, step] - pose[:3]).max() < 1e-9 for step, pose in zip(frames, want))
+        assert _same_map(maps.filter(F.col("seq") == seq), voxels)
 
 
 def test_compress_keeps_shape(spark):

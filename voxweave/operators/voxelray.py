@@ -18,24 +18,27 @@ from pyspark.sql import functions as F
 
 from ..config import Sensor, Tsdf
 from ..functions import camera
-from ..functions.mat import pose_literal
 from ..functions.vec import V3, div
 from ..runtime import computed
+from .pixels import joined_pose
 from .voxels import G
 
 TILE = 16
+POSE = [f"m{i}{j}" for i in range(3) for j in range(4)]
 
 
 def _tiles_across(s: Sensor) -> int:
     return -(-s.cols // TILE)
 
 
-def _voxels_by_tile(voxels: DataFrame, pose: np.ndarray, s: Sensor, cfg: Tsdf) -> DataFrame:
-    """(tile, voxel) for each tile one of whose rays can read the voxel."""
+def _voxels_by_tile(voxels: DataFrame, views: DataFrame, s: Sensor, cfg: Tsdf) -> DataFrame:
+    """(view, tile, voxel) for each tile of a view one of whose rays can read the voxel."""
     h = cfg.voxel_size
     margin = 1.5 * h * math.sqrt(3)
-    inv = pose_literal(np.linalg.inv(pose))
-    df = computed(voxels, inv.apply(V3.of("g") * F.lit(h)).as_map("_c"))
+    pose = joined_pose()
+    df = voxels.join(views.select("view", *POSE), "view")
+    seen = pose.rotation().T.apply(V3.of("g") * F.lit(h) - pose.translation())
+    df = computed(df, seen.as_map("_c"), ["view", *G, "sdf", "weight", "r", "g", "b"])
     c = V3.of("_c")
     near, far = c.z - margin, c.z + margin
     df = df.filter((far > 0) & (near <= cfg.max_depth))
@@ -56,11 +59,11 @@ def _voxels_by_tile(voxels: DataFrame, pose: np.ndarray, s: Sensor, cfg: Tsdf) -
         return F.floor(lo / TILE), F.floor(hi / TILE)
     x0, x1 = span(c.x, s.fx, s.cx, s.cols)
     y0, y1 = span(c.y, s.fy, s.cy, s.rows)
-    df = computed(df, {"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1}, [*G, "sdf", "weight", "r", "g", "b"])
+    df = computed(df, {"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1}, ["view", *G, "sdf", "weight", "r", "g", "b"])
     df = df.filter("_x0 <= _x1 and _y0 <= _y1")
     df = df.withColumn("_ty", F.explode(F.sequence("_y0", "_y1")))
     df = df.withColumn("_tx", F.explode(F.sequence("_x0", "_x1")))
-    return df.select((F.col("_ty") * _tiles_across(s) + F.col("_tx")).alias("tile"), *G, "sdf",
+    return df.select("view", (F.col("_ty") * _tiles_across(s) + F.col("_tx")).alias("tile"), *G, "sdf",
                      "weight", "r", "g", "b")
 
 
@@ -110,26 +113,26 @@ class _Field:
         return acc
 
 
-def render(voxels: DataFrame, pose, s: Sensor, cfg: Tsdf) -> DataFrame:
-    """idx, depth and r, g, b per pixel. Step by the truncation in unseen space, else by the
-    sdf; stop at an observed value below the voxel size. A ray that leaves the depth range
-    keeps the depth it reached and is black."""
-    pose = np.asarray(pose, dtype=float)
-    across = _tiles_across(s)
-    pixels = voxels.sparkSession.range(s.rows * s.cols).withColumnRenamed("id", "idx")
-    tile = F.expr(f"idx div {s.cols} div {TILE}") * across + F.expr(f"idx % {s.cols} div {TILE}")
-    rays = pixels.withColumn("tile", tile)
-
-    def walk(key, ray, vox):
-        if not len(ray):
-            return pd.DataFrame({c: [] for c in ("idx", "depth", "r", "g", "b")})
+def render_views(voxels: DataFrame, views: DataFrame, s: Sensor, cfg: Tsdf) -> DataFrame:
+    """view, idx, depth and r, g, b per pixel of each view (view, m00..m23) of its own map, the voxels with its ``view``.
+    Step by the truncation in unseen space, else by the sdf; stop at an observed value below the voxel size. A ray that
+    leaves the depth range keeps the depth it reached and is black."""
+    across, down = _tiles_across(s), -(-s.rows // TILE)
+    tiles = views.select("view", *POSE, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across * down - 1).cast("long"))).alias("tile"))
+
+    def walk(key, tile, vox):
+        if not len(tile):
+            return pd.DataFrame({c: [] for c in ("view", "idx", "depth", "r", "g", "b")})
         field = _Field(vox, cfg.voxel_size)
-        idx = ray["idx"].to_numpy()
-        u, v = idx % s.cols, idx // s.cols
+        pose = tile[POSE].to_numpy(dtype=float)[0].reshape(3, 4)
+        at_tile = int(tile["tile"].iloc[0])
+        v, u = (x.ravel() for x in np.mgrid[at_tile // across * TILE:min((at_tile // across + 1) * TILE, s.rows),
+                                            at_tile % across * TILE:min((at_tile % across + 1) * TILE, s.cols)])
+        idx = v * s.cols + u
 
         def at(d, m):
             cam = np.stack([(u[m] - s.cx) * d[m] / s.fx, (v[m] - s.cy) * d[m] / s.fy, d[m]], axis=1)
-            return cam @ pose[:3, :3].T + pose[:3, 3]
+            return cam @ pose[:, :3].T + pose[:, 3]
         d = np.zeros(len(idx))
         live = np.arange(len(idx))
         while len(live):
@@ -141,11 +144,18 @@ def render(voxels: DataFrame, pose, s: Sensor, cfg: Tsdf) -> DataFrame:
         hit = np.flatnonzero(d < cfg.max_depth)
         if len(hit):
             rgb[hit] = np.floor(np.round(field.sample(at(d, hit))[:, 2:], 9)).astype(np.int64)
-        return pd.DataFrame({"idx": idx, "depth": d, "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+        return pd.DataFrame({"view": tile["view"].iloc[0], "idx": idx, "depth": d, "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+
+    parts = _voxels_by_tile(voxels, views, s, cfg)
+    return tiles.groupBy("view", "tile").cogroup(parts.groupBy("view", "tile")).applyInPandas(
+        walk, "view long, idx long, depth double, r long, g long, b long")
 
-    parts = _voxels_by_tile(voxels, pose, s, cfg)
-    return rays.groupBy("tile").cogroup(parts.groupBy("tile")).applyInPandas(
-        walk, "idx long, depth double, r long, g long, b long")
+
+def render(voxels: DataFrame, pose, s: Sensor, cfg: Tsdf) -> DataFrame:
+    """idx, depth and r, g, b per pixel of one view, as :func:`render_views`."""
+    row = [(0, *map(float, np.asarray(pose, dtype=float)[:3].reshape(12)))]
+    view = voxels.sparkSession.createDataFrame(row, "view long, " + ", ".join(f"{c} double" for c in POSE))
+    return render_views(voxels.withColumn("view", F.lit(0).cast("long")), view, s, cfg).drop("view")
 
 
 def generate_depth(voxels: DataFrame, pose, s: Sensor, cfg: Tsdf) -> DataFrame:

@@ -155,10 +155,8 @@ def reach(s: Sensor, cfg: Tsdf) -> int:
     return max(1, math.ceil(2 * far * math.hypot(0.5 / s.fx, 0.5 / s.fy) / cfg.block_edge))
 
 
-def frame_blocks(allocated: DataFrame, known: DataFrame, s: Sensor, cfg: Tsdf) -> DataFrame:
-    """(frame, block) pairs to integrate: blocks that exist by then and lie within ``reach``
-    of the frame's rays. Any other existing block gets no observation from the frame, so this
-    replaces pairing every frame with every block."""
+def near_blocks(allocated: DataFrame, s: Sensor, cfg: Tsdf) -> DataFrame:
+    """(frame_id, block) within ``reach`` of the blocks that a frame's rays pass."""
     n = reach(s, cfg)
     near = F.sequence(F.lit(-n), F.lit(n))
     # A frame touches a bounded number of blocks, so one shuffle by frame serves all three steps.
@@ -166,6 +164,14 @@ def frame_blocks(allocated: DataFrame, known: DataFrame, s: Sensor, cfg: Tsdf) -
     for a in BLOCK:
         d = d.withColumn(f"_{a}", F.explode(near)).withColumn(a, F.col(a) + F.col(f"_{a}")).drop(f"_{a}")
         d = d.distinct()
+    return d
+
+
+def frame_blocks(allocated: DataFrame, known: DataFrame, s: Sensor, cfg: Tsdf) -> DataFrame:
+    """(frame, block) pairs to integrate: blocks that exist by then and lie within ``reach``
+    of the frame's rays. Any other existing block gets no observation from the frame, so this
+    replaces pairing every frame with every block."""
+    d = near_blocks(allocated, s, cfg)
     return d.join(known, BLOCK).filter(F.col("born") <= F.col("frame_id")).drop("born")
 
 
@@ -322,6 +328,14 @@ def merge(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFram
     return fold_chunked(_levels_only(obs), cfg, None if prior is None else _levels_only(prior))
 
 
+def merge_one(obs: DataFrame, cfg: Tsdf, prior: DataFrame, keys: list[str]) -> DataFrame:
+    """``merge`` for at most one observation of each voxel, whose key is ``keys``: a plain join; returns observed voxels."""
+    o, p = _levels_only(obs), _levels_only(prior)
+    j = o.join(p.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in ("sdf", "weight", "r", "g", "b")]), keys, "left")
+    step = _merge(cfg)(_state(True), F.struct("sdf", "r", "g", "b"))
+    return j.select(*keys, step.alias("_m")).select(*keys, "_m.*")
+
+
 def fuse(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, *,
          allocated: DataFrame | None = None) -> DataFrame:
     """Integrate every frame at its given pose and return the observed voxels."""

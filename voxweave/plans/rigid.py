@@ -12,6 +12,7 @@ from ..functions.vec import clean
 from ..operators import pixels as px
 from ..operators import rigid
 from ..operators import voxels as vx
+from ..streaming import tracking
 from . import tables as t
 from .image import normals_sql
 from .registry import query
@@ -118,3 +119,15 @@ def str2(spark, sf):
     pix = t.pixels(spark, sf, S)
     poses = rigid.poses_of(rigid.chain(_relative(spark, sf)))
     return vx.fuse(pix, poses, S, C).withColumn("sdf", clean(F.col("sdf")))
+
+
+SEQUENCE = 3  # frames of a sequence
+
+
+@query("str2_track_to_model")
+def str2_model(spark, sf):
+    """Poses of sequences of consecutive frames, each tracked against the map of the frames before it."""
+    pix = t.pixels(spark, sf, S)
+    pix = pix.withColumns({"seq": F.expr(f"frame_id div {SEQUENCE}"), "step": F.col("frame_id") % SEQUENCE}).drop("frame_id")
+    poses, _ = tracking.track_to_model(pix, S, FEW, C)
+    return poses.select("seq", "step", *[clean(F.col(c)).alias(c) for c in rigid.POSE])
