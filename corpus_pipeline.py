@@ -26,8 +26,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = named.where("stays").select("doc_id", "text_key")
     if again.isEmpty():
         return _without(docs, named)
-    few = docs.join(again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), _same_row(), "left_semi")
-    few = few.groupBy("doc_id", F.xxhash64("text").alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    key = _unused(docs, "text_key")
+    few = _of_rows(docs, again, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(key))
+    whole = F.struct(*map(_column, docs.columns))  # its JSON orders columns of any type
+    few = few.agg(F.min_by(whole, F.to_json(whole)).alias(_unused(docs, "row"))).select(f"{_unused(docs, 'row')}.*")
     return _without(docs, named).unionByName(few)
 
 
@@ -39,9 +41,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in angle brackets; n_chars follows."""
-    found = pii.find(docs, pii.train(docs)).withColumn("text", F.col("redacted"))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data is replaced by its kind in angle brackets; n_chars follows. All other columns stay as they are."""
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # apart from the operator's own names
+    found = pii.find(docs.select("doc_id", "text", *[_column(c).alias(n) for c, n in others.items()]), pii.train(docs))
+    now = {"doc_id": F.col("doc_id"), "text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return found.select(*[now.get(c, F.col(others.get(c, c))).alias(c) for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +55,26 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs that ``gone`` does not name by doc_id and hash of the text."""
-    gone = gone.select("doc_id", "text_key").distinct().select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(gone, _same_row(), "left_anti")
+    return _of_rows(docs, gone, "left_anti")
 
 
-def _same_row() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+def _of_rows(docs: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with the rows that ``named`` names by doc_id and hash of the text; docs may have any columns."""
+    at, key = _unused(docs, "doc_id_named"), _unused(docs, "text_key_named")
+    named = named.select("doc_id", "text_key").distinct().select(F.col("doc_id").alias(at), F.col("text_key").alias(key))
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(key)), how)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
