@@ -300,3 +300,24 @@ def test_one_row_of_each_group_stays(spark):
     assert texts == Counter({"a": 1, "b": 1, "c": 1, "d": 1, "": 2})
     assert {(1, a, "r"), (3, c, "s"), (3, d, "s")} <= set(got)
     assert rows_of(corpus_pipeline.near_duplicates(spark, docs.where("doc_id > 1"), "")) == Counter({(2, a, "s"): 1, (3, c, "s"): 1, (3, d, "s"): 1, (4, "", "s"): 2})
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, f"{words} mail a.b@example.org end"), (1, f"{words} mail a.b@example.org end"), (2, "short"), (3, f"other {words[::-1]}")]
+    names = ["_id", "_key", "base", "added", "redacted", "row", "text_key", "TEXT_KEY_named", "doc_id_named", "c0", "a b", "x.y"]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit(f"own {n}") for n in names}).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_duplicates, corpus_pipeline.personal_data):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = [r.asDict() for r in out.collect()]
+        assert got and all(r[n] == f"own {n}" for r in got for n in names) and all(r["m"] == {"k": r["doc_id"]} for r in got)
+        if stage is corpus_pipeline.near_duplicates:
+            assert sorted(r["doc_id"] for r in got) == [1, 2, 3]
+        if stage is corpus_pipeline.personal_data:
+            assert all(("<EMAIL>" in r["text"]) == (r["doc_id"] == 1) and r["n_chars"] == len(r["text"]) for r in got)
+    out = corpus_pipeline.decontamination(spark, docs, SF)
+    assert out.columns == docs.columns and out.count() == len(rows)
