@@ -321,3 +321,16 @@ def test_stages_keep_columns_of_any_name_and_type(spark):
             assert all(("<EMAIL>" in r["text"]) == (r["doc_id"] == 1) and r["n_chars"] == len(r["text"]) for r in got)
     out = corpus_pipeline.decontamination(spark, docs, SF)
     assert out.columns == docs.columns and out.count() == len(rows)
+
+
+def test_long_texts_are_split_in_one_pass(spark):
+    import time
+
+    took = []
+    for n in (1, 8):
+        texts = spark.createDataFrame([(1, "some words in a row, é\n " * (n * 90_000))], "doc_id long, text string")
+        began = time.perf_counter()
+        coded = pieces.encode(texts)
+        assert pieces.decode(coded).select(F.sha2("text", 256)).first()[0] == texts.select(F.sha2("text", 256)).first()[0]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 20  # 2 and 17 million characters; a split by position from the start costs 64 times

@@ -377,12 +377,18 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> D
             cols = [batch[c].to_pylist() for c in ("part", "n", "enter", "leave")]
             yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "k": batch["k"], "ids": _lists([shared.value.between(*x) for x in zip(*cols)])})
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc, text in zip(*[batch[c].to_pylist() for c in ("row", "doc_id", "text")]):
+                for at in range(0, len(text), 64 * chunk):
+                    firsts = range(at, min(at + 64 * chunk, len(text)), chunk)
+                    yield pa.record_batch({"row": pa.array([row] * len(firsts), pa.int64()), "doc_id": pa.array([doc] * len(firsts), pa.int64()),
+                                           "k": pa.array([f // chunk for f in firsts], pa.int32()), "part": pa.array([text[f:f + chunk + reach] for f in firsts], pa.string()),
+                                           "n": pa.array([min(chunk, len(text) - f) for f in firsts], pa.int32())})
+
     short = docs.where(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
     long = docs.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(F.lit(" "), "text").alias("text"))
-    count = F.ceil(F.length("text") / chunk).cast("int")
-    pieces = long.select("row", "doc_id", F.length("text").alias("size"), "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
-    pieces = pieces.select("row", "doc_id", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + reach)).alias("part"),
-                           F.least(F.lit(chunk), F.col("size") - F.col("k") * chunk).alias("n"))
+    pieces = long.mapInArrow(split, "row long, doc_id long, k int, part string, n int")
     pieces = cut(pieces.repartition("row", "k"))
     border = pieces.select("row", "k", "part", "n").mapInArrow(matrices, "row long, k int, scores binary, ranks binary")
     at = border.groupBy("row").applyInArrow(scan, "row long, k int, enter int, leave int")
