@@ -72,6 +72,8 @@ class NonRigid:
     converged: float = 1e-6
     damping: float = 1e-9
     leaf: int = 64      # nodes of a cell that is eliminated at once
+    normal_angle: float = math.pi / 10   # of a warped vertex and the live pixel that it falls on
+    max_distance: float = 0.1
 
 
 def from_mapping(cls, values: dict):

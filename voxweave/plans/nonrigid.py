@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..config import NonRigid
+from ..config import NonRigid, Rigid
 from ..functions.dualquat import PARTS
 from ..functions.plane import Plane
 from ..functions.vec import V3, clean
-from ..operators import frontal, knn, linalg, mesh, nonrigid, planefit
+from ..operators import frontal, knn, linalg, mesh, nonrigid, planefit, rigid
 from ..runtime import cut
 from . import dqsql as q
 from . import tables as t
+from .image import normals_sql
 from .neighbours import BASE, CFG, VERTEX_EDGES, edges_sql, vertex_edges
 from .registry import query
 from .surface import FACE_N, FACE_POS
@@ -226,6 +229,70 @@ def sol15(spark, sf):
     return nodes.select("node_id", *[clean(F.col(p)).alias(p) for p in PARTS])
 
 
+# -- onto depth images -------------------------------------------------------------------
+_FRAME = t.SMALL
+_LINKED = NonRigid(iterations=1, damping=1e-3, regularization=0.5)
+
+
+def _image_sql():
+    """Pixels of each small frame as vertices, warped by the graph and matched with the frame after it."""
+    cam = f"cam AS (SELECT (frame_id + 1) * {_FRAME.rows * _FRAME.cols} + idx AS id, frame_id + 1 AS frame_id, x, y, z, nx, ny, nz FROM nn)"
+    at = q.position(list(PARTS), ["x", "y", "z"])
+    turned = q.rotate([f"r{a}" for a in "wxyz"], ["nx", "ny", "nz"])
+    pix = lambda f, c, a: f"({f}::DOUBLE * {a} / nullif(wz, 0) + {c}::DOUBLE)"
+    near = lambda e: f"(floor(abs({e}) + 0.5) * sign({e}))::BIGINT"
+    gap = " + ".join(f"(w{a} - l.{a}) * (w{a} - l.{a})" for a in "xyz")
+    return f"""{t.pixels_sql(_FRAME)}, {normals_sql(_FRAME)}, nn AS (SELECT * FROM normals WHERE nx IS NOT NULL), {cam},
+  {BASE}, {edges_sql('cam', 'id', False, 1e-5)}, {q.sums_cte()}, {q.unit_cte('bs', 'bu')},
+  wp AS (SELECT c.*, {', '.join(f'{e} AS w{a}' for a, e in zip('xyz', at))}, {', '.join(f'{e} AS m{a}' for a, e in zip('xyz', turned))} FROM cam c JOIN bu ON bu.qid = c.id),
+  pj AS (SELECT *, {near(pix(_FRAME.fx, _FRAME.cx, 'wx'))} AS pu, {near(pix(_FRAME.fy, _FRAME.cy, 'wy'))} AS pv FROM wp WHERE wz > 0),
+  o AS (SELECT pj.id AS qid, pj.x, pj.y, pj.z, l.x AS tx, l.y AS ty, l.z AS tz, l.nx, l.ny, l.nz FROM pj JOIN nn l ON l.frame_id = pj.frame_id
+    AND l.idx = pv * {_FRAME.cols} + pu AND pu BETWEEN 0 AND {_FRAME.cols - 1} AND pv BETWEEN 0 AND {_FRAME.rows - 1}
+    WHERE abs(mx*l.nx + my*l.ny + mz*l.nz) > {math.cos(math.pi / 10)!r} AND sqrt({gap}) <= 0.1),
+  res AS (SELECT qid AS i, {q.dot(['nx', 'ny', 'nz'], [f'(t{a} - {c})' for a, c in zip('xyz', _W)])} AS val FROM o JOIN bu USING (qid))"""
+
+
+IMAGE = _image_sql()
+
+
+def _image(spark, sf):
+    """(vertices, live, nodes, edges): each frame's points are to be carried onto the frame after it."""
+    live = cut(rigid.prepared(t.pixels(spark, sf, _FRAME), _FRAME, Rigid()))
+    then = F.col("frame_id") + 1
+    vertices = live.withColumn("obs_id", then * _FRAME.rows * _FRAME.cols + F.col("idx")).withColumn("frame_id", then).drop("idx")
+    nodes = t.nodes(spark, sf)
+    return vertices, live, nodes, cut(knn.observation_edges(vertices, nodes, CFG))
+
+
+@query("sol8_image_residual", f"WITH {IMAGE} SELECT i, {t.r6('val')} AS val FROM res")
+def sol8_image(spark, sf):
+    vertices, live, nodes, edges = _image(spark, sf)
+    obs = nonrigid.associate(vertices, live, nodes, edges, _FRAME)
+    return nonrigid.residuals(obs, nodes, edges).select("i", clean(F.col("val")).alias("val"))
+
+
+@query("sol15_image_step", f"""WITH {IMAGE}, {JAC}, {LINKS.removeprefix(BASE + ', ')}, sr AS ({SMOOTH}), sj AS (SELECT i, j, sum(val) AS val FROM ({_blocks_sql()}) GROUP BY i, j),
+  g AS (SELECT jac.j AS i, -sum(jac.val * res.val) AS val FROM jac JOIN res USING (i) GROUP BY jac.j UNION ALL
+    SELECT sj.j, -{_LINKED.regularization}::DOUBLE * sum(sj.val * sr.val) FROM sj JOIN sr USING (i) GROUP BY sj.j),
+  gs AS (SELECT i, sum(val) AS val FROM g GROUP BY i), un AS (SELECT node_id * 6 + p AS i FROM nodes, range(6) r(p))
+SELECT i, round(coalesce(val, 0), 5) + 0.0 AS val FROM un LEFT JOIN gs USING (i)""")
+def sol15_image_step(spark, sf):
+    """One step onto images with smoothness, put back into its equations: (A + damping I) x must be the gradient."""
+    vertices, live, nodes, edges = _image(spark, sf)
+    obs = cut(nonrigid.associate(vertices, live, nodes, edges, _FRAME, _LINKED))
+    a, _, x = nonrigid.image_step(obs, nodes, edges, cut(_node_edges(spark, sf)), _LINKED)
+    back = linalg.add_vectors(linalg.matvec(a, x), x, 1.0, _LINKED.damping)
+    return back.select("i", clean(F.col("val"), 5).alias("val"))
+
+
+@query("sol15_register_image")
+def sol15_image(spark, sf):
+    """Node transforms after steps onto the images, with smoothness between linked nodes."""
+    vertices, live, nodes, edges = _image(spark, sf)
+    found, _ = nonrigid.solve_image(vertices, live, nodes, edges, _FRAME, _node_edges(spark, sf), _LINKED)
+    return found.select("node_id", *[clean(F.col(p)).alias(p) for p in PARTS])
+
+
 @query("sol16_error", f"WITH {RES} SELECT {t.r6('sum(val * val)')} AS error, count(*) AS n FROM res")
 def sol16(spark, sf):
     e = nonrigid.error(observations(spark, sf), t.nodes(spark, sf), vertex_edges(spark, sf))
