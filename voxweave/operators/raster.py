@@ -47,7 +47,7 @@ def pixel_ray(s: Sensor, pose: np.ndarray, u: Column, v: Column) -> V3:
 
 def _pixel_bounds(tri: DataFrame, s: Sensor, pose: np.ndarray) -> DataFrame:
     """Pixel range whose lines can meet the triangle. A line is the same in front of and behind
-    the camera, as is the projection. Across the camera plane the range is the whole image."""
+    the camera, as is the projection. Across the camera plane the range is the whole image, and rows narrow it."""
     inv = pose_literal(np.linalg.inv(pose))
     cam = {}
     for k in range(3):
@@ -64,17 +64,59 @@ def _pixel_bounds(tri: DataFrame, s: Sensor, pose: np.ndarray) -> DataFrame:
 
     def hi(p, n):
         return F.when(split, n - 1).otherwise(F.least(F.ceil(F.greatest(*p) + 1e-6), F.lit(n - 1)))
-    keep = [c for c in tri.columns if not c.startswith("_c")]
-    tri = computed(tri, {"_u0": lo(px), "_u1": hi(px, s.cols), "_v0": lo(py), "_v1": hi(py, s.rows)}, keep)
+    tri = computed(tri, {"_u0": lo(px), "_u1": hi(px, s.cols), "_v0": lo(py), "_v1": hi(py, s.rows)})
     return tri.filter("_u0 <= _u1 and _v0 <= _v1")
 
 
+def _row_spans(df: DataFrame, s: Sensor, keep: list[str]) -> DataFrame:
+    """``keep`` with the column ranges _lo.._hi in which row _v can meet its triangle.
+
+    The plane of eye and row cuts two sides of the triangle. If both cuts lie on one side of the camera plane, the row
+    meets what is between their projections; if they lie on either side, all but what is between. The range of the
+    bounds stands where a cut is on the camera plane or the row only touches a corner.
+    """
+    tan = math.tan(math.radians(FOV / 2))
+    y = (1.0 - 2.0 * ((F.col("_v") + 1) / F.lit(float(s.rows)))) * F.lit(tan)
+    df = computed(df, {f"_f{k}": F.col(f"_c{k}y") + F.col(f"_c{k}z") * y for k in range(3)})
+    cuts = {}
+    for i, j in ((0, 1), (1, 2), (2, 0)):
+        a, b = F.col(f"_f{i}"), F.col(f"_f{j}")
+        share = F.when((F.signum(a) * F.signum(b) <= 0) & (a != b), div(a, a - b))
+        cuts.update({f"_s{i}{c}": F.col(f"_c{i}{c}") + share * (F.col(f"_c{j}{c}") - F.col(f"_c{i}{c}")) for c in "xz"})
+    size = F.greatest(*[F.abs(F.col(f"_c{k}{c}")) for k in range(3) for c in "yz"])
+    touch = F.least(*[F.abs(F.col(f"_f{k}")) for k in range(3)]) <= 1e-9 * size
+    df = computed(df, {**cuts, "_size": size, "_touch": touch}, [*keep, "_u0", "_u1"])
+    zs = [F.col(f"_s{k}z") for k in range(3)]
+    at = [(div(F.col(f"_s{k}x"), -z) / F.lit(s.cols / s.rows * tan) + 1.0) / 2.0 * s.cols - 1.0 for k, z in enumerate(zs)]
+    front, rear = ([F.when(z < 0, u) for z, u in zip(zs, at)], [F.when(z > 0, u) for z, u in zip(zs, at)])
+    ends = {n: f(*side) for n, f, side in (("_a0", F.least, front), ("_a1", F.greatest, front), ("_b0", F.least, rear), ("_b1", F.greatest, rear))}
+    flat = F.coalesce(F.least(*map(F.abs, zs)) <= 1e-9 * F.col("_size"), F.lit(False))
+    df = computed(df, {**ends, "_flat": flat}, [*keep, "_u0", "_u1", "_touch"])
+    a0, a1, b0, b1 = (F.col(c) for c in ("_a0", "_a1", "_b0", "_b1"))
+    inside = lambda c: F.greatest(F.least(c, F.lit(float(s.cols))), F.lit(-1.0))
+    down, up = (lambda c: F.floor(inside(c) - 1e-4)), (lambda c: F.ceil(inside(c) + 1e-4))
+    span = lambda lo, hi: F.struct(F.greatest(F.col("_u0"), lo).cast("long").alias("_lo"), F.least(F.col("_u1"), hi).cast("long").alias("_hi"))
+    whole = span(F.col("_u0"), F.col("_u1"))
+    left = up(F.least(a1, b1))
+    spans = (F.when(F.col("_flat"), F.array(whole)).when(a0.isNull() & b0.isNull(), F.when(F.col("_touch"), F.array(whole)))
+             .when(b0.isNull(), F.array(span(down(a0), up(a1)))).when(a0.isNull(), F.array(span(down(b0), up(b1))))
+             .otherwise(F.array(span(F.col("_u0"), left), span(F.greatest(down(F.greatest(a0, b0)), left + 1), F.col("_u1")))))
+    return df.select(*keep, F.inline(spans)).filter("_lo <= _hi")
+
+
+def candidates(triangles: DataFrame, s: Sensor, pose) -> DataFrame:
+    """(fid, p0x..p2z, _u, _v): the pixels of the rows' spans of each triangle."""
+    df = _pixel_bounds(triangles, s, np.asarray(pose, dtype=float))
+    keep = ["fid", *[f"p{k}{a}" for k in range(3) for a in "xyz"], "_v"]
+    df = _row_spans(df.withColumn("_v", F.explode(F.sequence("_v0", "_v1"))), s, keep)
+    return df.select(*keep, F.explode(F.sequence("_lo", "_hi")).alias("_u"))
+
+
 def ray_hits(triangles: DataFrame, s: Sensor, pose) -> DataFrame:
     """(idx, fid, t, u, v) of each pixel ray that meets a triangle (fid, p0x..p2z); t may be
     negative, as a hit behind the camera counts."""
     pose = np.asarray(pose, dtype=float)
-    df = _pixel_bounds(triangles, s, pose)
-    df = df.withColumn("_v", F.explode(F.sequence("_v0", "_v1"))).withColumn("_u", F.explode(F.sequence("_u0", "_u1")))
+    df = candidates(triangles, s, pose)
     corners = [f"p{k}{a}" for k in range(3) for a in "xyz"]
     df = computed(df, pixel_ray(s, pose, F.col("_u"), F.col("_v")).as_map("_r"), ["fid", *corners, "_u", "_v"])
     df = computed(df, V3.of("_r").normalize().as_map("_d"), ["fid", *corners, "_u", "_v"])
