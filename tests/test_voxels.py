@@ -116,6 +116,41 @@ def test_extracted_sphere_is_watertight(spark):
     assert all(edges.get((b, a)) == n for (a, b), n in edges.items())
 
 
+def test_indexed_sphere_is_the_welded_soup(spark):
+    vox, step = lattice_sphere(spark)
+    vertices, faces = marching.extract_indexed(vox, Tsdf(voxel_size=step))
+    v, f = vertices.toPandas().sort_values("vid"), faces.toPandas().sort_values("fid")
+    assert list(v["vid"]) == list(range(len(v))) and list(f["fid"]) == list(range(len(f)))
+    at, idx = v[["x", "y", "z"]].to_numpy(), f[["v0", "v1", "v2"]].to_numpy()
+    assert len({tuple(p) for p in np.round(at, 9)}) == len(at)
+    assert set(idx.ravel()) == set(range(len(at)))
+    order = ["gx", "gy", "gz", "tri"]
+    soup = marching.extract(vox, Tsdf(voxel_size=step)).toPandas().sort_values(order)
+    assert (soup[order].to_numpy() == f[order].to_numpy()).all()
+    assert np.allclose(soup[[f"p{k}{a}" for k in range(3) for a in "xyz"]].to_numpy().reshape(-1, 3, 3), at[idx], atol=1e-9)
+    sides = {}
+    for a, b, c in idx:
+        for e in ((a, b), (b, c), (c, a)):
+            if e[0] != e[1]:
+                sides[e] = sides.get(e, 0) + 1
+    assert all(sides.get((b, a)) == n for (a, b), n in sides.items())
+    assert np.allclose(v[["r", "g", "b"]].to_numpy() * 255, [10, 20, 30])
+
+
+def test_a_triangle_across_the_camera_plane_costs_its_pixels(spark):
+    """Whole images are not listed: the candidates stay near the pixels that are hit."""
+    s = Sensor(rows=120, cols=160)
+    tri = [(0, 0.3, 0.2, 2.0, 0.0, 0.1, -2.0, 0.1, -0.1, -2.0),   # thin, across the plane
+           (1, -0.5, -0.4, -1.0, 0.5, -0.4, -1.0, 0.0, 0.5, -1.5)]
+    df = spark.createDataFrame(tri, "fid long, " + ", ".join(f"p{k}{a} double" for k in range(3) for a in "xyz"))
+    listed = {r["fid"]: r["count"] for r in raster.candidates(df, s, np.eye(4)).groupBy("fid").count().collect()}
+    hit = {r["fid"]: r["count"] for r in raster.ray_hits(df, s, np.eye(4)).groupBy("fid").count().collect()}
+    for fid in (0, 1):
+        assert hit[fid] > 50 and listed[fid] <= hit[fid] + 6 * s.rows
+    pairs = raster.candidates(df, s, np.eye(4)).select("fid", "_u", "_v")
+    assert pairs.count() == pairs.distinct().count()
+
+
 def test_triangle_table_uses_exactly_the_cut_edges():
     table = marching.triangle_table()
     for case in range(256):

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Tsdf
-from ..runtime import computed
+from ..runtime import computed, cut, with_running
+from . import mesh
 
 G = ["gx", "gy", "gz"]
 # Corner (x, y, z) of each case bit, and the two bits each edge joins; fixed values
@@ -155,6 +156,44 @@ def extract(voxels: DataFrame, cfg: Tsdf, lo=None, hi=None) -> DataFrame:
     return triangulate(cells.join(colours, G), cfg.voxel_size)
 
 
+def _lattice_vertex(v: int) -> dict[str, Column]:
+    """Vertex v of a triangle named by the lattice: kx, ky, kz are twice the corner that the vertex is snapped to, or
+    the sum of the two corners of its edge; m is the share of the way from the lower to the upper one."""
+    a, b = F.col(f"a{v}"), F.col(f"b{v}")
+    at = {x: F.array(*[F.lit(c[n]) for c in CORNERS]) for n, x in enumerate("xyz")}
+    total = F.array(*[F.lit(sum(c)) for c in CORNERS])
+    first = F.get(total, a) < F.get(total, b)
+    low, high = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    d0, d1 = F.get("d", low), F.get("d", high)
+    m = F.when(F.abs(d0) < 1e-5, 0.0).when(F.abs(d1) < 1e-5, 1.0).when(F.abs(d0 - d1) < 1e-5, 0.0).otherwise(F.try_divide(-d0, d1 - d0))
+    key = {x: 2 * F.col(f"g{x}") + F.when(m == 0, 2 * F.get(at[x], low)).when(m == 1, 2 * F.get(at[x], high))
+           .otherwise(F.get(at[x], low) + F.get(at[x], high)) for x in "xyz"}
+    return {**{f"k{x}": c.cast("long") for x, c in key.items()}, "m": m}
+
+
+def extract_indexed(voxels: DataFrame, cfg: Tsdf) -> tuple[DataFrame, DataFrame]:
+    """(vertices(vid, x, y, z, r, g, b), faces(fid, gx, gy, gz, tri, v0, v1, v2)) of the observed map.
+
+    A vertex is named by the lattice edge that it cuts, or the corner that it is snapped to, so that cells share
+    vertices without a comparison of positions. vid counts the names in order, fid the cells. A vertex has the mean
+    colour of the triangle corners that meet in it. Every triangle of :func:`extract` stays.
+    """
+    cells = surface_cells(corner_values(voxels))
+    colours = voxels.select(*G, *[(F.col(c) / 255.0).alias(c) for c in "rgb"])
+    t = cells.join(colours, G).join(F.broadcast(triangle_rows(cells.sparkSession)), "cube")
+    named = F.array(*[F.struct(F.lit(v).alias("k"), *[c.alias(n) for n, c in _lattice_vertex(v).items()]) for v in range(3)])
+    corners = cut(t.select(*G, "tri", *"rgb", F.inline(named)))  # read for the vertices and for the faces
+    key = ["kx", "ky", "kz"]
+    names = corners.groupBy(*key).agg(F.max("m").alias("m"), *[F.avg(c).alias(c) for c in "rgb"])
+    numbered = with_running(names, key, ordinal="vid")
+    # An odd name is halfway along its axis.
+    place = lambda x: (F.expr(f"k{x} div 2 - if(k{x} < 0 and k{x} % 2 <> 0, 1, 0)")
+                       + F.when(F.col(f"k{x}") % 2 != 0, F.col("m")).otherwise(0.0) - 0.5) * F.lit(cfg.voxel_size)
+    vertices = numbered.select("vid", *[place(x).alias(x) for x in "xyz"], *"rgb")
+    faces = mesh.regroup(corners.join(numbered.select(*key, "vid"), key), {"vid": "v{k}"}, [*G, "tri"])
+    return vertices, with_running(faces, [*G, "tri"], ordinal="fid")
+
+
 def march_field(field: DataFrame, step: float, origin: float = 0.0) -> DataFrame:
     """Surface of values on lattice points (gx, gy, gz, d), vertices at edge midpoints."""
     corners = field.select(F.col("gx").alias("cx"), F.col("gy").alias("cy"), F.col("gz").alias("cz"), "d")

@@ -14,22 +14,22 @@ def corners(faces: DataFrame) -> DataFrame:
     return faces.select("fid", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "vid"))
 
 
-def _regroup(df: DataFrame, values: dict[str, str], keys: str = "fid") -> DataFrame:
+def regroup(df: DataFrame, values: dict[str, str], keys: str | list[str] = "fid") -> DataFrame:
     """Back to one row per face: column ``values[c].format(k)`` from value c of corner k."""
     aggs = [F.max(F.when(F.col("k") == k, F.col(c))).alias(name.format(k=k))
             for c, name in values.items() for k in range(3)]
-    return df.groupBy(keys).agg(*aggs)
+    return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(*aggs)
 
 
 def face_positions(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """fid and p0x..p2z: one join over the exploded corners in place of three."""
     j = corners(faces).join(vertices.select("vid", "x", "y", "z"), "vid")
-    return _regroup(j, {a: "p{k}" + a for a in "xyz"})
+    return regroup(j, {a: "p{k}" + a for a in "xyz"})
 
 
 def remap(faces: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace vertex ids by ``mapping`` (vid, to)."""
-    return _regroup(corners(faces).join(mapping, "vid"), {"to": "v{k}"})
+    return regroup(corners(faces).join(mapping, "vid"), {"to": "v{k}"})
 
 
 def soup(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:

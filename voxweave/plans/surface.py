@@ -61,6 +61,35 @@ def msh1(spark, sf):
     return out.withColumns({c: clean(F.col(c)) for c in (*POS, "r", "g", "b")})
 
 
+def _indexed_sql():
+    """Corners of triangles named by the lattice edge or corner that they lie on, numbered in the order of names."""
+    low, high = (f"(CASE WHEN m.ox + m.oy + m.oz {c} n.ox + n.oy + n.oz THEN p.d ELSE q.d END)" for c in "<>")
+    ctes = []
+    for v in range(3):
+        snapped = f"abs({low}) < 1e-5 OR (abs({high}) >= 1e-5 AND abs({low} - {high}) < 1e-5)"
+        name = lambda a: (f"2 * c.g{a} + CASE WHEN {snapped} THEN 2 * least(m.o{a}, n.o{a}) WHEN abs({high}) < 1e-5 "
+                          f"THEN 2 * greatest(m.o{a}, n.o{a}) ELSE m.o{a} + n.o{a} END AS k{a}")
+        at = lambda a: (f"(c.g{a} - 0.5::DOUBLE + least(m.o{a}, n.o{a}) + CASE WHEN {snapped} THEN 0 WHEN abs({high}) < 1e-5 THEN 1 "
+                        f"ELSE -{low} / ({high} - {low}) END * abs(n.o{a} - m.o{a})) * {C.voxel_size}::DOUBLE AS {a}")
+        ctes.append(f"""SELECT c.gx, c.gy, c.gz, tri, {v} AS k, {', '.join(name(a) for a in 'xyz')}, {', '.join(at(a) for a in 'xyz')}
+          FROM cells c JOIN tt USING (cube) JOIN cn m ON m.i = a{v} JOIN cn n ON n.i = b{v}
+          JOIN cc p ON p.gx = c.gx AND p.gy = c.gy AND p.gz = c.gz AND p.i = a{v} JOIN cc q ON q.gx = c.gx AND q.gy = c.gy AND q.gz = c.gz AND q.i = b{v}""")
+    return f"""{t.lattice_sql()}, {CORNER_SQL}, {CELL_SQL}, co AS ({' UNION ALL '.join(ctes)}),
+  vi AS (SELECT *, dense_rank() OVER (ORDER BY kx, ky, kz) - 1 AS vid FROM co)"""
+
+
+@query("msh5_indexed_vertices", f"WITH {_indexed_sql()} SELECT vid, {', '.join(f'{t.r6(f'max({a})')} AS {a}' for a in 'xyz')} FROM vi GROUP BY vid")
+def msh5_vertices(spark, sf):
+    v, _ = mc.extract_indexed(t.lattice(spark, sf), C)
+    return v.select("vid", *[clean(F.col(a)).alias(a) for a in "xyz"])
+
+
+@query("msh5_indexed_faces", f"""WITH {_indexed_sql()} SELECT dense_rank() OVER (ORDER BY gx, gy, gz, tri) - 1 AS fid, gx, gy, gz, tri,
+{', '.join(f'max(vid) FILTER (k = {k}) AS v{k}' for k in range(3))} FROM vi GROUP BY gx, gy, gz, tri""")
+def msh5_faces(spark, sf):
+    return mc.extract_indexed(t.lattice(spark, sf), C)[1]
+
+
 @query("msh16_midpoint_surface", f"""WITH {t.lattice_sql()}, cv AS (SELECT gx AS cx, gy AS cy, gz AS cz, sdf AS d FROM lattice),
 {CELL_SQL}, {_vertices_sql(0.05, 0.0, True)} SELECT gx, gy, gz, tri, {_P} FROM {_JOINED}""")
 def msh16(spark, sf):
