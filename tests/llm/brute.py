@@ -93,7 +93,38 @@ def rules(rows):
             if n[tuple(w[i:i + 3])] > 1:
                 hit[i:i + 3] = [1] * 3
         failed = len(w) < 50 or 100 * sum(hit) > 50 * len(w)
-        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, sum(hit), failed, not failed))
+        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, sum(hit), failed))
+    return out
+
+
+def verdicts(rows):
+    """(doc_id, kept) of rows (doc_id, text, source): own rules, and the rates of the host under beta priors."""
+    over, hosts = [], collections.defaultdict(list)
+    for (d, t, h), (_, words, chars, symbols, dup, _, failed) in zip(rows, rules([r[:2] for r in rows])):
+        n_lines = sum(bool(SPACED.search(x)) for x in (t or "").split("\n"))
+        wide = len("".join(SPACED.findall(t or "")).encode()) >= 2 * chars
+        long = 0 if wide or not words else chars / words / 10
+        over.append((h, failed, symbols / words / 0.1 if words else 0, dup / n_lines / 0.4 if n_lines else 0, max(long, 3 * words / chars if chars else 0)))
+        if h is not None:
+            hosts[h].append([failed, *(x > 1 for x in over[-1][2:])])
+    rates = collections.defaultdict(lambda: [0] * 4)
+    for k in range(4):
+        sizes = {h: len(v) for h, v in hosts.items()}
+        fails = {h: sum(x[k] for x in v) for h, v in hosts.items()}
+        n, squares = sum(sizes.values()), sum(x * x for x in sizes.values())
+        if not n:
+            break
+        mean = sum(fails.values()) / n
+        noise, below = mean * (1 - mean), n - squares / n - (len(sizes) - 1)
+        between = sum(fails[h] ** 2 / sizes[h] for h in sizes) - n * mean * mean
+        spread = (between - (len(sizes) - 1) * noise) / below if below else 0
+        strength = max(1, min(1e9, noise / spread - 1)) if spread > 0 else 1e9
+        for h in sizes:
+            rates[h] = [*rates[h][:k], (fails[h] + mean * strength) / (sizes[h] + strength), *rates[h][k + 1:]]
+    out = []
+    for (d, _, h), (_, failed, *own) in zip(rows, over):
+        rate = rates[h] if h is not None else [0] * 4
+        out.append((d, not failed and max(rate) < 0.9 and all(x <= 1 - r / 2 for x, r in zip(own, rate[1:]))))
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def rows_of(df):
 
 
 BASE = [("op1_substring_dedup", lambda rows, items: brute.repeats(rows), None), ("op2_decontaminate", brute.leaks, None),
-        ("op3_quality_hosts", lambda rows, items: brute.rules(rows), None), ("op5_pii", lambda rows, items: brute.personal(rows), 6),
+        ("op3_quality_hosts", lambda rows, items: brute.rules(rows), 7), ("op5_pii", lambda rows, items: brute.personal(rows), 6),
         ("op7_near_dedup", lambda rows, items: brute.groups(rows), None), ("op8_secret_scan", lambda rows, items: brute.secrets(rows), 5)]
 
 
@@ -119,6 +120,35 @@ def test_hosts_shrink(spark):
     assert quality_hosts.judge(bad.unionByName(bad.withColumn("source", F.lit("g")).limit(1)), limit=0.9).where("kept").count() == 0
 
 
+def test_kept_is_the_verdict_of_rules_and_hosts(spark):
+    """The query and its twin against a plain model; the further rules take documents that the base rules leave."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
+    want = Counter(brute.verdicts(rows))
+    got = queries.QUERIES["op3_quality_hosts"](spark, "/root/testdata/sf0.01")
+    assert Counter(tuple(r) for r in got.select("doc_id", "kept").collect()) == want
+    assert got.where("not kept and not base_failed").count() > 0
+    twin = duckdb.connect()
+    twin.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert Counter(twin.execute(f"SELECT doc_id, kept FROM ({queries.SQL['op3_quality_hosts']})").fetchall()) == want
+
+
+def test_many_secrets_in_one_text(spark):
+    """20,000 matches in one text; positions by a running sum."""
+    text = "\n".join(f"é{i:032x}" for i in range(20_000))
+    found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first()["spans"]
+    assert [(s["start"], s["end"]) for s in found] == [(34 * i + 1, 34 * i + 33) for i in range(20_000)]
+
+
+def test_query_reads_the_ledger(spark, monkeypatch):
+    """The second scan of the secrets query searches only what the first has not."""
+    searched = []
+    find = secret_scan.find_secrets
+    monkeypatch.setattr(secret_scan, "find_secrets", lambda blobs: (searched.append(blobs.count()), find(blobs))[1])
+    queries.QUERIES["op8_secret_scan"](spark, SF).collect()
+    blobs = spark.read.parquet(f"{SF}/documents.parquet").select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert len(searched) == 2 and min(searched) > 0 and sum(searched) == blobs
+
+
 def test_further_rules_reject_junk_and_spare_clean_documents(spark):
     import corpus_pipeline
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_hosts import MOST_DUP_LINES, MOST_SYMBOLS, WORD_LENGTH
+from .quality_hosts import RULES as FURTHER
 from .secret_scan import BASE, RULES
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -66,6 +68,17 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM tok_row LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
 
+def _prior(rule: str) -> str:
+    """prior_<rule>(mean, strength): the beta distribution of the hosts' failure rates of a rule, by moments."""
+    return f"""moments_{rule} AS (
+    SELECT sum(n) AS total, sum(n * n) AS squares, count(*) AS k, sum(f_{rule}) / sum(n) AS mean, sum(f_{rule} * f_{rule} / n) AS npp FROM hosts),
+spread_{rule} AS (
+    SELECT mean, mean * (1 - mean) AS noise, (npp - total * mean * mean - (k - 1) * mean * (1 - mean))
+           / nullif(total - squares / total - (k - 1), 0) AS spread FROM moments_{rule}),
+prior_{rule} AS (
+    SELECT mean AS mean_{rule}, CASE WHEN spread > 0 THEN greatest(1.0, least(1e9, noise / spread - 1)) ELSE 1e9 END AS strength_{rule} FROM spread_{rule})"""
+
+
 OP3 = rf"""
 WITH {_tokens("documents", "text", _SPACED, "doc_id, source, coalesce(text, '') AS text", "tok")},
 twice AS (
@@ -79,23 +92,25 @@ measured AS MATERIALIZED (
     SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
            CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
            CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+           strlen(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_bytes, len(ls) AS n_lines,
            CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
            len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed
     FROM tok_row LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r)),
+judged AS MATERIALIZED (
+    SELECT *, coalesce(n_symbols / nullif(n_words, 0), 0) / {MOST_SYMBOLS}::DOUBLE AS over_symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) / {MOST_DUP_LINES}::DOUBLE AS over_dup_lines,
+           greatest(CASE WHEN word_bytes < 2 * word_chars THEN coalesce(word_chars / nullif(n_words, 0), 0) / {WORD_LENGTH[1]}::DOUBLE ELSE 0 END,
+                    {WORD_LENGTH[0]}::DOUBLE * coalesce(n_words / nullif(word_chars, 0), 0)) AS over_word_length FROM measured),
 hosts AS (
-    SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS failed
-    FROM measured WHERE source IS NOT NULL GROUP BY source),
-moments AS (
-    SELECT sum(n) AS total, sum(n * n) AS squares, count(*) AS k, sum(failed) / sum(n) AS mean, sum(failed * failed / n) AS npp FROM hosts),
-spread AS (
-    SELECT mean, mean * (1 - mean) AS noise, (npp - total * mean * mean - (k - 1) * mean * (1 - mean))
-           / nullif(total - squares / total - (k - 1), 0) AS spread FROM moments),
-prior AS (
-    SELECT mean, CASE WHEN spread > 0 THEN greatest(1.0, least(1e9, noise / spread - 1)) ELSE 1e9 END AS strength FROM spread),
-rates AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(rate, 0) < 0.9 AS kept
-FROM measured LEFT JOIN rates USING (source)
+    SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f_base,
+           {", ".join(f"CAST(count(*) FILTER (over_{r} > 1) AS DOUBLE) AS f_{r}" for r in FURTHER)}
+    FROM judged WHERE source IS NOT NULL GROUP BY source),
+{", ".join(map(_prior, ("base", *FURTHER)))},
+rates AS (
+    SELECT source, {", ".join(f"(f_{r} + mean_{r} * strength_{r}) / (n + strength_{r}) AS rate_{r}" for r in ("base", *FURTHER))}
+    FROM hosts, {", ".join(f"prior_{r}" for r in ("base", *FURTHER))})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate_base, 0) < 0.9
+       AND {" AND ".join(f"coalesce(rate_{r}, 0) < 0.9 AND over_{r} <= 1 - coalesce(rate_{r}, 0) / 2" for r in FURTHER)} AS kept
+FROM judged LEFT JOIN rates USING (source)
 """
 
 OP7 = f"""
