@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,3 +365,35 @@ def test_long_texts_are_split_in_one_pass(spark):
         assert pieces.decode(coded).select(F.sha2("text", 256)).first()[0] == texts.select(F.sha2("text", 256)).first()[0]
         took.append(time.perf_counter() - began)
     assert took[1] < 20 * took[0] + 20  # 2 and 17 million characters; a split by position from the start costs 64 times
+
+
+def test_network_finds_other_ways_of_writing(spark):
+    """Spans set into texts with other draws than in training: found by the network alone, with nothing else added."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tagger = pii.train(docs)
+    right, due, wrong = 0, 0, 0
+    for i, text in enumerate(r[0][:5000] for r in docs.where("text <> ''").orderBy("doc_id").select("text").collect()):
+        text, labels = pii.planted(text, random.Random(10 ** 6 + i), 4)
+        base, added, redacted = pii._scan(pa.array([text]), tagger)
+        want = {x for x in labels if pii.settle(*x, text) and not any(x[1] < e and s < x[2] for _, s, e in base[0])}
+        assert base[0] == pii.base_spans(text)
+        right, due, wrong = right + len(want & set(added[0])), due + len(want), wrong + len(set(added[0]) - want)
+    assert due > 100 and right >= 0.7 * due and wrong <= 0.02 * right
+    rows = [(1, "host 192[.]168[.]0[.]1 is up"), (2, "We met (at) noon on 2024-01-15 10:30, 12 of 37"), (3, ""), (4, None), (5, "(at" * 9), (6, "a@" * 3000 + "1 2" * 3000)]
+    found = {r["doc_id"]: r["redacted"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()}
+    assert all(found[d] == t for d, t in rows if d not in (1, 6))
+
+
+def test_spans_of_the_network_are_settled():
+    def settled(kind, text, part):
+        at = text.index(part)
+        got = pii.settle(pii.KINDS.index(kind), at, at + len(part), text)
+        return got and text[got[1]:got[2]]
+    assert settled("email", "to jane.doe [at] example [dot] org.", "ne.doe [at] example [dot] o") == "jane.doe [at] example [dot] org"
+    assert settled("email", "x" * 400 + "@ab.de", "@ab.de") is None and settled("email", "met (at) noon", "met (at) noon") is None
+    assert settled("phone", "ring 0044 20 7946 0958 now", "20 7946 0958") == "0044 20 7946 0958"
+    assert settled("phone", "in 1984 1985 1986", "1984 1985 1986") is None and settled("phone", "no 2024-01-15 10:30", "2024-01-15 10") is None
+    assert settled("card", "pay 4111-1111.1111-1111, ok", " 4111-1111.1111-1111,") == "4111-1111.1111-1111" and settled("card", "f4111-1111.1111-1111", "4111-1111.1111-1111") is None
+    assert settled("ip", "at 192,168,0,1 up", "192,168,0,1") == "192,168,0,1"
+    assert not any(settled("ip", f"has {x} of", x) for x in ("1,234,123,200", "10,12,14,16", "1.2.3.400", "1.2,3.4"))
+    assert pii._apart([(0, 5, 9), (2, 7, 20)], [(1, 0, 5), (3, 19, 25), (3, 20, 30), (1, 28, 40)]) == [(1, 0, 5), (3, 20, 30)]
