@@ -416,8 +416,8 @@ def _scan(column: pa.Array, tagger: Tagger) -> tuple[list, list, pa.Array]:
         starts, codes = _windows(text)
         cells.append(_cells(codes, starts))
         owner.append((i, starts))
-    if cells:
-        every = np.concatenate(cells)
+    every = np.concatenate(cells) if cells else ()
+    if len(every):
         tags = np.concatenate([tagger.decode(every[k:k + 512]) for k in range(0, len(every), 512)])
         at = 0
         for i, starts in owner:
