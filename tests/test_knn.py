@@ -72,3 +72,36 @@ def test_sample_of_large_ids(spark):
     ids = [5, 2**62, 4_000_000_000, -3]
     got = [r["vid"] for r in graph.sample_random(spark.createDataFrame([(i,) for i in ids], "vid long"), 4).collect()]
     assert got == sorted(ids, key=lambda i: (i * 2654435761 % 2**32, i))
+
+
+def test_nodes_against_themselves_in_a_deep_tree(spark, monkeypatch):
+    """Queries and nodes are one DataFrame, and the tree is built in more than one round."""
+    monkeypatch.setattr(knn, "LEAF", 8)
+    p = cloud("hot", 300, 3)
+    nodes = pd.DataFrame(p, columns=list("xyz"))
+    nodes.insert(0, "node_id", np.arange(300))
+    n = spark.createDataFrame(nodes)
+    got = knn.knn(n.withColumnRenamed("node_id", "qid"), n, 4, exclude_self=True).toPandas()
+    assert sorted(map(tuple, got[["qid", "rank", "node_id"]].to_numpy().tolist())) == brute(nodes, nodes, 4, True)
+
+
+def test_repeated_ids_are_all_skipped(spark):
+    nodes = pd.DataFrame([(i // 3, float(i // 6), 0.0, 0.0) for i in range(36)], columns=["node_id", *"xyz"])
+    n = spark.createDataFrame(nodes)
+    got = knn.knn(n.withColumnRenamed("node_id", "qid"), n, 4, exclude_self=True).toPandas()
+    assert sorted(map(tuple, got[["qid", "rank", "node_id"]].to_numpy().tolist())) == brute(nodes, nodes, 4, True)
+
+
+def test_far_queries_fall_into_small_boxes(spark):
+    """Queries beside the nodes' cube lie in boxes of their own, not in the cube's border cells."""
+    from pyspark.sql import functions as F
+    q = spark.range(20000).select(F.col("id").alias("qid"), *[(F.lit(5.0) + F.rand(s)).alias(a) for s, a in ((1, "x"), (2, "y"), (3, "z"))])
+    boxes = knn._boxes(q, 64).groupBy("box").agg(F.count(F.lit(1)).alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).toPandas()
+    assert boxes["n"].sum() == 20000 and boxes["n"].max() <= 64 and boxes[list("xyz")].to_numpy().mean() < 0.3
+
+
+def test_rows_without_a_place(spark):
+    rows = [(0, 0.0, 0.0, 0.0), (1, None, 0.0, 0.0), (2, float("nan"), 0.0, 0.0), (None, 1.0, 0.0, 0.0), (4, 3.0, 0.0, 0.0)]
+    n = spark.createDataFrame(rows, "node_id long, x double, y double, z double")
+    got = knn.knn(n.withColumnRenamed("node_id", "qid"), n, 1, exclude_self=True).collect()
+    assert sorted(((r["qid"], r["node_id"]) for r in got), key=str) == sorted([(0, None), (None, None), (4, None)], key=str)
