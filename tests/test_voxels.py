@@ -359,3 +359,16 @@ def test_compress_keeps_shape(spark):
     kept, faces = mesh.compress(v, f)
     assert sorted(map(tuple, faces.collect())) == [(0, 0, 1, 2), (1, 1, 3, 2)]
     assert kept.count() == 4
+
+
+def test_merge_moves_observations_once(spark):
+    """One exchange by voxel: chunks, their level maps and their composition stay where the observations are."""
+    from voxweave.config import Tsdf
+    from voxweave.operators import voxels
+    rows = [(f, v % 3, v, 0, 0.01 * (f % 7) - 0.02, (f * v) % 256, f % 256, 255 - f % 256) for f in range(40) for v in range(6)]
+    obs = spark.createDataFrame(rows, "frame_id long, gx long, gy long, gz long, sdf double, r long, g long, b long")
+    got = voxels.fold_chunked(obs, Tsdf(), chunk=4, fan=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    near = lambda df: sorted((*r[:3], round(r["sdf"], 9), *r[4:]) for r in df.collect())
+    assert near(got) == near(voxels.fold(obs, Tsdf()))

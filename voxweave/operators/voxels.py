@@ -266,15 +266,14 @@ def fold_chunked(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None, chun
     chunks are summarised independently, then composed ``fan`` at a time, then applied.
     """
     n_max = F.lit(cfg.max_weight)
-    g = _grouped(obs.withColumn("_c", F.floor(F.col("frame_id") / chunk)), [*G, "_c"])
-    # Light rows only: how many observations precede each chunk, and hence its start weight.
+    # One exchange by voxel serves every step below: neither observations nor level maps are moved again.
+    g = _grouped(obs.withColumn("_c", F.floor(F.col("frame_id") / chunk)).repartition(*G), [*G, "_c"])
+    # How many observations precede each chunk, and hence its start weight.
     before = Window.partitionBy(*G).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = g.select(*G, "_c", F.size("_obs").alias("_n")).withColumn("_p", F.lit(0))
+    g = g.withColumn("_n", F.coalesce(F.sum(F.size("_obs")).over(before), F.lit(0)))
     if prior is not None:
-        counts = counts.drop("_p").join(prior.select(*G, F.col("weight").alias("_p")), G, "left")
-    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.coalesce("_p", F.lit(0))
-    starts = counts.select(*G, "_c", F.least(earlier, n_max).cast("int").alias("_w"))
-    g = g.join(starts, [*G, "_c"])
+        g = g.join(prior.select(*G, F.col("weight").alias("_p")), G, "left").withColumn("_n", F.col("_n") + F.coalesce("_p", F.lit(0)))
+    g = g.withColumn("_w", F.least("_n", n_max).cast("int"))
 
     def affine(acc, o):
         w = acc["fw"]
