@@ -372,3 +372,59 @@ def test_merge_moves_observations_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1, plan
     near = lambda df: sorted((*r[:3], round(r["sdf"], 9), *r[4:]) for r in df.collect())
     assert near(got) == near(voxels.fold(obs, Tsdf()))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_fold_scans_one_row_at_a_time(spark, parts):
+    """The sequential fold over batches of a few rows, with a prior, and without an array that grows with the frames."""
+    rows = observations(60, 3)
+    df = spark.createDataFrame(rows, OBS)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = vx.merge(df.filter("frame_id >= 25").repartition(parts), CFG, vx.merge(df.filter("frame_id < 25"), CFG))
+        assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = sequential(rows, CFG.max_weight)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - s) < 1e-12 and got[k][1:] == (w, *c) for k, (s, w, c) in want.items())
+
+
+def test_observations_make_no_row_per_voxel_of_a_block(spark):
+    """Only voxels that see a pixel are rows; a pixel or a pose that is there twice counts twice, one without a place not."""
+    s = Sensor(rows=8, cols=8, fx=8.0, fy=8.0, cx=3.5, cy=3.5)
+    cfg = Tsdf(voxel_size=0.1, block_size=4, truncation=0.3)
+    pix = "frame_id long, idx long, u long, v long, depth double, r long, g long, b long"
+    one = [(0, i, i % 8, i // 8, 1.0, i, 2, None) for i in range(64)]
+    poses = [(0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)]
+    pose = "frame_id long, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
+
+    def seen(pixels, poses, pairs=((0, 0, 0, 2), (0, 0, 0, 1), (0, -1, -1, 1), (0, 40, 0, 1), (None, 0, 0, 1))):
+        p = spark.createDataFrame(list(pairs), "frame_id long, bx long, by long, bz long")
+        df = vx.observations(p, spark.createDataFrame(pixels, pix), spark.createDataFrame(poses, pose), s, cfg)
+        assert "Generate explode" not in df._jdf.queryExecution().executedPlan().toString()
+        return sorted(tuple(r) for r in df.drop("b").collect())
+    want = []
+    for bx, by, bz in ((0, 0, 2), (0, 0, 1), (-1, -1, 1)):
+        # The middle of the corner voxel of a block must fall into the image.
+        mid = [c * 0.4 + 0.2 for c in (bx, by, bz)]
+        if not all(-0.5 < 8 * c / mid[2] + 3.5 < 7.5 for c in mid[:2]):
+            continue
+        for x, y, z in np.ndindex(4, 4, 4):
+            g = (bx * 4 + x, by * 4 + y, bz * 4 + z)
+            p = [c * 0.1 for c in g]
+            u, v = (8 * c / p[2] + 3.5 for c in p[:2])
+            if not (-0.5 < u < 7.5 and -0.5 < v < 7.5):
+                continue
+            u, v = math.floor(u + 0.5), math.floor(v + 0.5)
+            sd = math.sqrt(((u - 3.5) / 8) ** 2 + ((v - 3.5) / 8) ** 2 + 1)
+            gap = sd - math.sqrt(sum(c * c for c in p))
+            if gap > -0.3:
+                want.append((0, *g, min(gap, 0.3), v * 8 + u, 2))
+    got = seen(one, poses)
+    assert [r[:4] + r[5:] for r in got] == [r[:4] + r[5:] for r in sorted(want)] and got
+    assert np.allclose([r[4] for r in got], [r[4] for r in sorted(want)])
+    assert len(seen(one + one, poses)) == 2 * len(got) == len(seen(one, poses + poses))
+    assert seen([(None, *r[1:]) for r in one], poses) == [] == seen([(*r[:4], None, *r[5:]) for r in one], poses)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,35 +181,63 @@ def _to_camera(p: V3) -> V3:
     return joined_pose().rotation().T.apply(p - joined_pose().translation())
 
 
+def _observe(s: Sensor, cfg: Tsdf):
+    """The voxels of one frame's blocks that see its pixels, some blocks at a time."""
+    n, h, tau = cfg.block_size, cfg.voxel_size, cfg.truncation
+    inner = np.stack(np.unravel_index(np.arange(n ** 3), (n, n, n)), axis=1)
+
+    def run(key, blocks: pa.Table, seen: pa.Table) -> pa.Table:
+        idx, found = seen["idx"].to_numpy(), []
+        order = np.argsort(idx, kind="stable")
+        idx, sd = idx[order], seen["_sd"].to_numpy()[order]
+        at = np.stack([blocks[c].to_numpy() for c in BLOCK], axis=1) * n
+        m = {c: blocks[c].to_numpy() for c in (f"m{i}{k}" for i in range(3) for k in range(4))}
+        step = max(1, 200_000 // n ** 3) if len(idx) else max(1, len(at))
+        for k in range(0, len(at) if len(idx) else 0, step):
+            rows = slice(k, k + step)
+            g = (at[rows, None, :] + inner[None]).reshape(-1, 3)
+            e = {c: np.repeat(v[rows], n ** 3) for c, v in m.items()}
+            d = [g[:, i] * h - e[f"m{i}3"] for i in range(3)]
+            x, y, z = (e[f"m0{i}"] * d[0] + e[f"m1{i}"] * d[1] + e[f"m2{i}"] * d[2] for i in range(3))
+            near = np.flatnonzero(z > 0)  # on the camera plane there is no pixel
+            g, x, y, z = g[near], x[near], y[near], z[near]
+            u, v = s.fx * x / z + s.cx, s.fy * y / z + s.cy
+            ok = np.flatnonzero((u > -0.5) & (u < s.cols - 0.5) & (v > -0.5) & (v < s.rows - 0.5))
+            g, vd = g[ok], np.sqrt(x[ok] * x[ok] + y[ok] * y[ok] + z[ok] * z[ok])
+            pixel = (np.floor(np.abs(v[ok]) + 0.5) * np.sign(v[ok]) * s.cols + np.floor(np.abs(u[ok]) + 0.5) * np.sign(u[ok])).astype(np.int64)
+            first = np.searchsorted(idx, pixel)
+            times = np.searchsorted(idx, pixel, side="right") - first  # a pixel may be there more than once
+            own = np.repeat(np.arange(len(pixel)), times)
+            p = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times) + first[own]
+            gap, before = sd[p] - vd[own], vd[own] < sd[p] - tau
+            ok = ((vd[own] > sd[p] - tau) & (vd[own] < sd[p] + tau)) | before
+            found.append((g[own[ok]], np.where(before, tau, gap)[ok], order[p[ok]]))
+        g, sdf, p = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros((0, 3), np.int64), np.zeros(0), np.zeros(0, np.int64))
+        colours = seen.select(["r", "g", "b"]).take(pa.array(p))
+        return pa.table([pa.array(np.full(len(p), key[0].as_py(), np.int64)), *[pa.array(g[:, i]) for i in range(3)], pa.array(sdf), *colours.columns],
+                        ["frame_id", *G, "sdf", "r", "g", "b"])
+    return run
+
+
 def observations(pairs: DataFrame, pixels: DataFrame, poses: DataFrame, s: Sensor,
                  cfg: Tsdf) -> DataFrame:
-    """One row per (frame, voxel) that sees a valid pixel within or before the surface."""
-    edge, n = cfg.block_edge, cfg.block_size
+    """One row per (frame, voxel) that sees a valid pixel within or before the surface.
+
+    A frame's blocks meet its pixels in one task: both are bounded by the sensor, and of the voxels, hundreds for each
+    that sees a pixel within reach, only those that do are ever rows.
+    """
+    edge = cfg.block_edge
     df = pairs.join(pose_columns(poses), "frame_id")
     corner = _to_camera(V3.of("b") * F.lit(edge))
     df = computed(df, corner.as_map("_k")).filter(F.col("_kz") >= 0)
     u, v = camera.project_raw(s, V3.of("_k") + F.lit(0.5 * edge))
-    df = df.filter(camera.rounds_into_image(s, u, v)).drop("_kx", "_ky", "_kz")
-    df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n ** 3 - 1))))
-    df = df.withColumns({"gx": F.col("bx") * n + F.expr(f"_i div {n * n}"),
-                         "gy": F.col("by") * n + F.expr(f"_i div {n} % {n}"),
-                         "gz": F.col("bz") * n + F.expr(f"_i % {n}")})
-    df = computed(df, _to_camera(voxel_to_world(V3.of("g"), cfg)).as_map("_c"), ["frame_id", *G])
-    c = V3.of("_c")
-    u, v = camera.project_raw(s, c)
-    df = computed(df, {"_vd": c.length(), "_u": u, "_v": v}, ["frame_id", *G, "_cz"])
-    df = df.filter((F.col("_cz") >= 0) & camera.rounds_into_image(s, F.col("_u"), F.col("_v")))
-    u, v = round_away(F.col("_u")), round_away(F.col("_v"))
-    df = df.select("frame_id", *G, "_vd", (v * s.cols + u).alias("idx"))
-    seen = pixels.filter(camera.valid_depth(cfg.min_depth, cfg.max_depth))
-    seen = seen.select("frame_id", "idx", "r", "g", "b",
+    df = df.filter(camera.rounds_into_image(s, u, v))
+    df = df.select(F.col("frame_id").cast("long"), *BLOCK, *[f"m{i}{k}" for i in range(3) for k in range(4)])
+    seen = pixels.filter(camera.valid_depth(cfg.min_depth, cfg.max_depth)).filter("frame_id is not null and idx is not null")
+    seen = seen.select(F.col("frame_id").cast("long"), F.col("idx").cast("long"), *[F.col(c).cast("long") for c in "rgb"],
                        camera.back_project(s, F.col("depth")).length().alias("_sd"))
-    df = df.join(seen, ["frame_id", "idx"])
-    gap, tau = F.col("_sd") - F.col("_vd"), F.lit(cfg.truncation)
-    sdf = (F.when((F.col("_vd") > F.col("_sd") - tau) & (F.col("_vd") < F.col("_sd") + tau), gap)
-           .when(F.col("_vd") < F.col("_sd") - tau, tau))
-    return (df.withColumn("sdf", sdf).filter(F.col("sdf").isNotNull())
-            .select("frame_id", *G, "sdf", "r", "g", "b"))
+    return df.groupBy("frame_id").cogroup(seen.groupBy("frame_id")).applyInArrow(
+        _observe(s, cfg), "frame_id long, gx long, gy long, gz long, sdf double, r long, g long, b long")
 
 
 # -- merging -----------------------------------------------------------------------------
@@ -249,7 +279,7 @@ def _renamed(prior: DataFrame) -> DataFrame:
 
 def fold(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
     """Merge observations in frame order. A voxel has at most one observation per frame, so
-    its array is as long as the frames are many: the plain model of ``fold_chunked``, which ``merge`` uses."""
+    its array is as long as the frames are many: the plain model of ``fold_running``, which ``merge`` uses, and ``fold_chunked``."""
     g = _grouped(obs, G)
     if prior is not None:
         g = g.join(_renamed(prior), G, "full_outer").withColumn("_obs", F.coalesce("_obs", F.array()))
@@ -317,6 +347,51 @@ def fold_chunked(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None, chun
     return out.select(*G, "_m.*")
 
 
+def _running(cfg: Tsdf):
+    """Folds rows that come by voxel, prior first, then by frame; the voxel that a batch ends in goes on in the next."""
+    names = [*G, "sdf", "weight", "r", "g", "b"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def table(rows):
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pa.record_batch([pa.array(c, k, from_pandas=True) for c, k in zip(columns, kinds)], names)
+
+    def run(batches):
+        at, sdf, w, r, g, b = None, 0.0, 0, 0, 0, 0
+        for batch in batches:
+            done = []
+            x, y, z, n, rr, gg, bb = (batch[c].to_pylist() for c in (*G, "weight", "r", "g", "b"))
+            for i, o in enumerate(batch["sdf"].to_numpy(zero_copy_only=False).tolist()):
+                here = (x[i], y[i], z[i])
+                if here != at:
+                    if at is not None:
+                        done.append((*at, sdf, w, r, g, b))
+                    at, sdf, w, r, g, b = here, 0.0, 0, 0, 0, 0
+                if n[i] is not None:
+                    sdf, w, r, g, b = o, n[i], rr[i], gg[i], bb[i]
+                    continue
+                v = w + 1
+                # Colours truncate as a cast does.
+                sdf, r, g, b = (sdf * w + o) / v, int((r * w + rr[i]) / v), int((g * w + gg[i]) / v), int((b * w + bb[i]) / v)
+                w = min(v, cfg.max_weight)
+            yield table(done)
+        if at is not None:
+            yield table([(*at, sdf, w, r, g, b)])
+    return run
+
+
+def fold_running(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
+    """``fold`` for any number of frames: one exchange by voxel, then the sorted rows are scanned, one step per
+    observation, and no more than the voxel at hand is held. Colours must not be null."""
+    rows = obs.select(*G, "frame_id", "sdf", F.lit(None).cast("int").alias("weight"), *[F.col(c).cast("long") for c in "rgb"])
+    if prior is not None:  # a row with a weight is a state, not an observation
+        kept = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("sdf", "weight", "r", "g", "b")}
+        rows = rows.unionByName(prior.withColumns(kept).select(*G, F.lit(None).cast("long").alias("frame_id"), "sdf",
+                                                               F.col("weight").cast("int"), *[F.col(c).cast("long") for c in "rgb"]))
+    rows = rows.repartition(*G).sortWithinPartitions(*G, F.col("weight").isNull(), "frame_id", "sdf", *"rgb")
+    return rows.drop("frame_id").mapInArrow(_running(cfg), MAP_SCHEMA)
+
+
 def _levels_only(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(255), F.col(c))).cast("long") for c in "rgb"})
 
@@ -324,7 +399,7 @@ def _levels_only(df: DataFrame) -> DataFrame:
 def merge(obs: DataFrame, cfg: Tsdf, prior: DataFrame | None = None) -> DataFrame:
     """Fold observations in frame order, whatever their number. Colours are levels from 0 to 255: others, which a user
     may have set, are taken as the nearest level."""
-    return fold_chunked(_levels_only(obs), cfg, None if prior is None else _levels_only(prior))
+    return fold_running(_levels_only(obs), cfg, None if prior is None else _levels_only(prior))
 
 
 def merge_one(obs: DataFrame, cfg: Tsdf, prior: DataFrame, keys: list[str]) -> DataFrame:
