@@ -428,3 +428,25 @@ def test_observations_make_no_row_per_voxel_of_a_block(spark):
     assert np.allclose([r[4] for r in got], [r[4] for r in sorted(want)])
     assert len(seen(one + one, poses)) == 2 * len(got) == len(seen(one, poses + poses))
     assert seen([(None, *r[1:]) for r in one], poses) == [] == seen([(*r[:4], None, *r[5:]) for r in one], poses)
+
+
+def test_batches_of_a_stream_are_planned_by_their_size(spark, tmp_path, monkeypatch):
+    """The map is merged in the stream's session: that of a batch has adaptive execution off, 200 tasks for any exchange."""
+    s = Sensor(rows=2, cols=2, fx=2.0, fy=2.0, cx=0.5, cy=0.5)
+    pix = spark.range(8).selectExpr("id div 4 AS frame_id", "id % 4 AS idx", "id % 2 AS u", "id % 4 div 2 AS v", "1.0D AS depth",
+                                    "id AS r", "id AS g", "id AS b", "timestamp_seconds(id div 4 + 1) AS ts")
+    end = spark.range(1).selectExpr("CAST(NULL AS LONG) AS frame_id", *[f"CAST(NULL AS {k}) AS {c}" for c, k in (
+        ("idx", "LONG"), ("u", "LONG"), ("v", "LONG"), ("depth", "DOUBLE"), ("r", "LONG"), ("g", "LONG"), ("b", "LONG"))], "timestamp_seconds(100) AS ts")
+    pix.unionByName(end).coalesce(1).write.parquet(str(tmp_path / "in"))
+    poses = spark.range(2).selectExpr("id AS frame_id", *[f"0.0D AS {c}" for c in ("tx", "ty", "tz", "qx", "qy", "qz")], "1.0D AS qw")
+    adaptive, own = [], tracking.integrate
+
+    def watched(pixels, *rest, **options):
+        adaptive.append(pixels.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return own(pixels, *rest, **options)
+    monkeypatch.setattr(tracking, "integrate", watched)
+    store, done = tracking.MapStore(str(tmp_path / "map")), []
+    tracking.fuse_stream(spark.readStream.schema(pix.schema).parquet(str(tmp_path / "in")), poses, s, CFG, store, str(tmp_path / "at"), done.append,
+                         delay="10 seconds").awaitTermination()
+    assert adaptive and set(adaptive) == {"true"}
+    assert sorted(map(tuple, store.read(spark, "voxels", done[-1]).collect())) == sorted(map(tuple, vx.fuse(pix.drop("ts"), poses, s, CFG).collect()))

@@ -83,11 +83,16 @@ def fuse_stream(pixels: DataFrame, poses: DataFrame, s: Sensor, cfg: Tsdf, store
                 on_batch=None, *, stamp: str = "ts", delay: str = "10 seconds") -> StreamingQuery:
     """Merge a stream of pixel rows into the map in the order of frames, which must be that of their stamps. A frame may
     be spread over several batches, see :func:`whole_frames`; a pixel that is sent twice counts once."""
+    spark = pixels.sparkSession
+
     def update(batch: DataFrame, version: int):
-        spark = batch.sparkSession
+        # The session of a batch plans without adaptive execution, every exchange with all partitions; the stream's own,
+        # which reads the rows once written, sizes them by the data.
+        at = os.path.join(store.folder, "rows", f"v{version}")
         old = [None, None] if version == 0 else [store.read(spark, k, version - 1) for k in ("voxels", "blocks")]
         rows = batch.filter("frame_id is not null").select("frame_id", F.inline("pixels")).dropDuplicates(["frame_id", "idx"])
-        voxels, blocks = integrate(cut(rows), poses, s, cfg, *old, changed=True)
+        rows.write.mode("overwrite").parquet(at)
+        voxels, blocks = integrate(spark.read.parquet(at), poses, s, cfg, *old, changed=True)
         store.write(voxels, "voxels", version)
         store.write(blocks, "blocks", version)
         if on_batch:
