@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,25 @@ def test_fused_sphere_end_to_end(spark, sphere):
     assert len(p) > 100 and np.median(abs(radius - 0.4)) < FINE.voxel_size
 
 
+def test_a_point_and_its_corners_are_one_lookup(monkeypatch):
+    g = np.array([(x, y, z) for x in range(3) for y in range(3) for z in range(3)])
+    vox = pa.table({**{c: g[:, k] for k, c in enumerate(("gx", "gy", "gz"))}, "sdf": g @ [0.1, 0.2, 0.4], "weight": np.ones(27, np.int32),
+                    **{c: np.full(27, 7) for c in "rgb"}})
+    field, asked, read = voxelray._Field(vox, 0.5), [], voxelray._Field.read
+    monkeypatch.setattr(voxelray._Field, "read", lambda self, p: asked.append(len(p)) or read(self, p))
+    at = np.array([[0.5, 0.6, 0.4], [0.55, 0.45, 0.5], [9.0, 9.0, 9.0]])
+    got = field.sample(at)
+    assert asked == [27]
+    for p, row in zip(at, got):
+        centre, f, acc = field.read(p[None])[0], p / 0.5 - np.floor(p / 0.5), np.zeros(5)
+        for o in np.ndindex(2, 2, 2):
+            v = field.read((p + (np.array(o) - 0.5) * 0.5)[None])[0]
+            acc += np.prod(np.where(np.array(o) == 1, f, 1 - f)) * (v if v[1] else centre)
+        acc[1] = centre[1]
+        assert np.array_equal(row, acc if centre[1] else np.zeros(5))
+    assert got[0, 0] and not got[2].any()
+
+
 def test_rendered_depth_matches_brute_force(spark, sphere):
     _, _, vox = sphere
     pose = np.eye(4)

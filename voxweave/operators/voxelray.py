@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,18 +67,24 @@ def _voxels_by_tile(voxels: DataFrame, views: DataFrame, s: Sensor, cfg: Tsdf) -
                      "weight", "r", "g", "b")
 
 
+def _columns(rows: pa.Table, names: list[str], kind) -> np.ndarray:
+    return np.stack([np.asarray(rows[c].to_numpy(), kind) for c in names], axis=1)
+
+
 class _Field:
     """Trilinear reads of one tile's voxels."""
 
-    def __init__(self, vox: pd.DataFrame, h: float):
+    corners = np.array([(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
+
+    def __init__(self, vox: pa.Table, h: float):
         self.h = h
-        g = vox[G].to_numpy(dtype=np.int64)
+        g = _columns(vox, G, np.int64)
         self.lo = g.min(axis=0) - 2 if len(g) else np.zeros(3, np.int64)
         self.n = (g.max(axis=0) + 3 - self.lo) if len(g) else np.ones(3, np.int64)
         key = self._key(g)
         order = np.argsort(key)
         self.key = key[order]
-        self.val = vox[["sdf", "weight", "r", "g", "b"]].to_numpy(dtype=float)[order]
+        self.val = _columns(vox, ["sdf", "weight", "r", "g", "b"], float)[order]
 
     def _key(self, g):
         d = g - self.lo
@@ -96,18 +102,13 @@ class _Field:
         return out
 
     def sample(self, p):
-        """(sdf, weight, r, g, b) at each point."""
-        centre = self.read(p)
+        """(sdf, weight, r, g, b) at each point. The point and its corners are looked up in one go."""
         f = p / self.h - np.floor(p / self.h)
+        centre, *near = self.read(np.concatenate([p, *[p + (o - 0.5) * self.h for o in self.corners]])).reshape(9, len(p), 5)
         acc = np.zeros((len(p), 5))
-        for i in (0, 1):
-            for j in (0, 1):
-                for k in (0, 1):
-                    o = np.array([i, j, k])
-                    w = np.prod(np.where(o == 1, f, 1 - f), axis=1)
-                    v = self.read(p + (o - 0.5) * self.h)
-                    v = np.where(v[:, 1:2] == 0, centre, v)
-                    acc += w[:, None] * v
+        for o, v in zip(self.corners, near):
+            w = np.prod(np.where(o == 1, f, 1 - f), axis=1)
+            acc += w[:, None] * np.where(v[:, 1:2] == 0, centre, v)
         acc[:, 1] = centre[:, 1]
         acc[centre[:, 1] == 0] = 0.0
         return acc
@@ -120,12 +121,14 @@ def render_views(voxels: DataFrame, views: DataFrame, s: Sensor, cfg: Tsdf) -> D
     across, down = _tiles_across(s), -(-s.rows // TILE)
     tiles = views.select("view", *POSE, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across * down - 1).cast("long"))).alias("tile"))
 
-    def walk(key, tile, vox):
+    schema = pa.schema([("view", pa.int64()), ("idx", pa.int64()), ("depth", pa.float64()), *[(c, pa.int64()) for c in "rgb"]])
+
+    def walk(key, tile: pa.Table, vox: pa.Table) -> pa.Table:
         if not len(tile):
-            return pd.DataFrame({c: [] for c in ("view", "idx", "depth", "r", "g", "b")})
+            return schema.empty_table()
         field = _Field(vox, cfg.voxel_size)
-        pose = tile[POSE].to_numpy(dtype=float)[0].reshape(3, 4)
-        at_tile = int(tile["tile"].iloc[0])
+        pose = _columns(tile, POSE, float)[0].reshape(3, 4)
+        at_tile = tile["tile"][0].as_py()
         v, u = (x.ravel() for x in np.mgrid[at_tile // across * TILE:min((at_tile // across + 1) * TILE, s.rows),
                                             at_tile % across * TILE:min((at_tile % across + 1) * TILE, s.cols)])
         idx = v * s.cols + u
@@ -144,10 +147,10 @@ def render_views(voxels: DataFrame, views: DataFrame, s: Sensor, cfg: Tsdf) -> D
         hit = np.flatnonzero(d < cfg.max_depth)
         if len(hit):
             rgb[hit] = np.floor(np.round(field.sample(at(d, hit))[:, 2:], 9)).astype(np.int64)
-        return pd.DataFrame({"view": tile["view"].iloc[0], "idx": idx, "depth": d, "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+        return pa.table([pa.array([tile["view"][0].as_py()] * len(idx), pa.int64()), pa.array(idx), pa.array(d), *[pa.array(rgb[:, k]) for k in range(3)]], schema)
 
     parts = _voxels_by_tile(voxels, views, s, cfg)
-    return tiles.groupBy("view", "tile").cogroup(parts.groupBy("view", "tile")).applyInPandas(
+    return tiles.groupBy("view", "tile").cogroup(parts.groupBy("view", "tile")).applyInArrow(
         walk, "view long, idx long, depth double, r long, g long, b long")
 
 
